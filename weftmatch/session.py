@@ -54,14 +54,19 @@ def materialize(df: DataFrame, label: str = "stage", partition_by: list[str] | N
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    if not _written:
-        atexit.register(_discard_all)
-    _written.append((spark, path))
+    remove_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._weftmatch_path = path
     return out
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Have ``path`` removed when the driver's Python ends."""
+    if not _written:
+        atexit.register(_discard_all)
+    _written.append((spark, path))
+
+
 def discard(df: DataFrame) -> None:
     """Remove a table of ``materialize`` that no later step reads."""
     path = getattr(df, "_weftmatch_path", None)
