@@ -9,7 +9,10 @@ from ..sources.tables import table
 from .groups import item_keys, shared_key_groups
 from .history import new_against_history
 from .items import items
+from .leaks import RUN, leaks
+from .packing import pack, token_sizes
 from .plaintext import not_plain_fields, plain_fields
+from .reading import reading_levels
 from .survivors import COUNTED, representatives
 
 
@@ -44,5 +47,35 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return shared_key_groups(keys, "mongo_id", "k")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_representatives": p3_representatives, "p5_found": p5_found, "p5_plain_names": p5_plain_names, "p6_found": p6_found}
-_ = F
+def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """Every piece of every document's text with its container, for each kind of container."""
+    return pack(token_sizes(table(spark, sf, "documents")), table(spark, sf, "container_specs"))
+
+
+def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Affected documents and held-out items with the figures of their tiling, reordered passages included."""
+    return leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with ``RUN`` consecutive words of a held-out item, or all of a shorter one."""
+    return p8_leaks(spark, sf).filter(F.col("longest_run") >= F.least(F.lit(RUN), "item_words")).select("doc_id", "item_id")
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with its reading level."""
+    return reading_levels(table(spark, sf, "documents"), table(spark, sf, "reading_labels")).select("doc_id", "reading_level")
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_representatives": p3_representatives,
+    "p5_found": p5_found,
+    "p5_plain_names": p5_plain_names,
+    "p6_found": p6_found,
+    "p7_containers": p7_containers,
+    "p8_found": p8_found,
+    "p8_leaks": p8_leaks,
+    "p9_found": p9_found,
+}
