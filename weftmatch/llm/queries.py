@@ -10,6 +10,7 @@ from .groups import item_keys, shared_key_groups
 from .history import new_against_history
 from .items import items
 from .leaks import RUN, leaks
+from .names import characters, name_links
 from .packing import pack, token_sizes
 from .plaintext import not_plain_fields, plain_fields
 from .reading import reading_levels
@@ -31,6 +32,16 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return p3_representatives(spark, sf).filter("dominant").select("item_key", "mongo_id")
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of items whose differing names mean the same character of the same series."""
+    return name_links(items(spark, sf, "name", "name_aliases", "anime_name"))
+
+
+def p4_characters(spark: SparkSession, sf: str) -> DataFrame:
+    """Every item with a usable name and the character it was placed with."""
+    return characters(items(spark, sf, "name", "name_aliases", "anime_name"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Fields of ``item_snapshots`` that are not in plain form."""
     return not_plain_fields(table(spark, sf, "item_snapshots"), "mongo_id", ["name", "anime_name"])
@@ -71,6 +82,8 @@ QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_representatives": p3_representatives,
+    "p4_found": p4_found,
+    "p4_characters": p4_characters,
     "p5_found": p5_found,
     "p5_plain_names": p5_plain_names,
     "p6_found": p6_found,
