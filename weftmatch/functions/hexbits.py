@@ -31,27 +31,39 @@ def hamming64(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def _word(text: Column, at: int) -> Column:
-    return F.conv(F.substring(text, at * 8 + 1, 8), 16, 10).cast("bigint")
+#: Digits of the longest hash, and digits in one word of it.
+MOST_DIGITS, WORD_DIGITS = 64, 8
 
 
-def hamming_hex(a: Column, b: Column, words: int = 8) -> Column:
-    """Differing bits of two hex texts of up to ``8 * words`` digits, the shorter padded with zeros on the left.
-    Null if either is null, blank, longer or not hex."""
-    most = 8 * words
-    ta, tb = F.lower(F.trim(a)), F.lower(F.trim(b))
-    form = f"^[0-9a-f]{{1,{most}}}$"
-    ok = ta.rlike(form) & tb.rlike(form)
-    pa, pb = F.lpad(F.when(ok, ta), most, "0"), F.lpad(F.when(ok, tb), most, "0")
-    total = F.lit(0)
-    for w in range(words):
-        total = total + F.bit_count(_word(pa, w).bitwiseXOR(_word(pb, w)))
-    return F.when(ok, total)
+def hash_words(text: Column) -> Column:
+    """A hex text of up to ``MOST_DIGITS`` digits as a struct (n, w): its number of bits, and its bits in words of 32,
+    padded with zeros on the left. Null if it is null, blank, longer or not hex. Compute it once per row, before a join."""
+    t = F.lower(F.trim(text))
+    ok = t.rlike(f"^[0-9a-f]{{1,{MOST_DIGITS}}}$")
+    padded = F.lpad(F.when(ok, t), MOST_DIGITS, "0")
+    words = F.transform(F.sequence(F.lit(0), F.lit(MOST_DIGITS // WORD_DIGITS - 1)), lambda i: F.conv(F.substr(padded, i * WORD_DIGITS + 1, F.lit(WORD_DIGITS)), 16, 10).cast("bigint"))
+    return F.when(ok, F.struct((4 * F.length(t)).alias("n"), words.alias("w")))
 
 
-def normalized_hamming(a: Column, b: Column, words: int = 8) -> Column:
+def hamming_words(a: Column, b: Column) -> Column:
+    """Differing bits of two ``hash_words``."""
+    bits = F.zip_with(a["w"], b["w"], lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(bits, F.lit(0), lambda acc, x: acc + x)
+
+
+def normalized_words(a: Column, b: Column) -> Column:
+    """``hamming_words`` over the bits of the longer hash."""
+    return hamming_words(a, b) / F.greatest(a["n"], b["n"])
+
+
+def hamming_hex(a: Column, b: Column) -> Column:
+    """Differing bits of two hex texts, the shorter padded with zeros on the left; null if either is unusable."""
+    return hamming_words(hash_words(a), hash_words(b))
+
+
+def normalized_hamming(a: Column, b: Column) -> Column:
     """``hamming_hex`` over the bits of the longer text."""
-    return hamming_hex(a, b, words) / (4 * F.greatest(F.length(F.trim(a)), F.length(F.trim(b))))
+    return normalized_words(hash_words(a), hash_words(b))
 
 
 def chunk_widths(n_bits: int, n: int) -> list[int]:
