@@ -19,6 +19,8 @@ from ..session import materialize
 #: Rounds of stripping or compressing stop when a round removes less than this share of the edges; the core solver
 #: takes whatever is left, so the number only moves work.
 LEAST_GAIN = 0.05
+#: A graph of so many edges at most is joined without looking for hubs: all of it is little for one task.
+FEW_EDGES = 1_000_000
 
 
 def item_keys(items: DataFrame) -> DataFrame:
@@ -35,30 +37,35 @@ def _degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("v").agg(F.count(F.lit(1)).alias("deg"))
 
 
-def _with_degrees(edges: DataFrame) -> DataFrame:
+def _hub_join(left: DataFrame, right: DataFrame, on: str, n: int, how: str = "inner") -> DataFrame:
+    """``skew_join`` of ``n`` edges; the sketch for hubs is spared where ``n`` is small."""
+    return skew_join(left, right, on, how, keys=[] if n <= FEW_EDGES else None)
+
+
+def _with_degrees(edges: DataFrame, n: int) -> DataFrame:
     deg = _degrees(edges)
-    one = skew_join(edges, deg.select(F.col("v").alias("a"), F.col("deg").alias("da")), "a")
-    return skew_join(one, deg.select(F.col("v").alias("b"), F.col("deg").alias("db")), "b")
+    one = _hub_join(edges, deg.select(F.col("v").alias("a"), F.col("deg").alias("da")), "a", n)
+    return _hub_join(one, deg.select(F.col("v").alias("b"), F.col("deg").alias("db")), "b", n)
 
 
-def _strip(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _strip(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """Edges without those at a degree-one vertex, and (v, parent) of the vertices removed. Of an edge between two
     such vertices the larger goes."""
-    known = materialize(_with_degrees(edges), "degrees")
+    known = materialize(_with_degrees(edges, n), "degrees")
     leaf = F.when((F.col("da") == 1) & ((F.col("db") > 1) | (F.col("a") > F.col("b"))), F.col("a")).when(F.col("db") == 1, F.col("b"))
     gone = known.withColumn("v", leaf).filter("v is not null")
     removed = gone.select("v", F.when(F.col("v") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("parent"))
     return known.filter("da > 1 and db > 1").select("a", "b"), removed
 
 
-def _compress(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _compress(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """Edges with every chain of degree-two vertices replaced by one edge between its ends, and (v, parent) of the
     vertices removed, the parent being the chain's end. Closed rings have no end and stay for the core solver."""
     deg = _degrees(edges)
     arcs = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y")))
     inner = deg.filter("deg = 2").select(F.col("v"))
     # The two neighbours of each inner vertex: walking x -> v goes on to the other one.
-    sides = skew_join(arcs.withColumnRenamed("x", "v"), inner, "v").groupBy("v").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
+    sides = _hub_join(arcs.withColumnRenamed("x", "v"), inner, "v", n).groupBy("v").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
     step = sides.select(F.col("lo").alias("x"), "v", F.col("hi").alias("nxt")).unionByName(sides.select(F.col("hi").alias("x"), "v", F.col("lo").alias("nxt")))
     # A walker (x, v) stands on inner v having come from x; (px, pv) is the walker it has reached.
     walk = materialize(step.select("x", "v", F.col("v").alias("px"), F.col("nxt").alias("pv"), F.lit(False).alias("done")), "walk")
@@ -67,10 +74,10 @@ def _compress(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         nxt = walk.select(F.col("x").alias("px"), F.col("v").alias("pv"), F.col("px").alias("qx"), F.col("pv").alias("qv"))
         moved = walk.join(nxt, ["px", "pv"], "left").select("x", "v", F.coalesce("qx", "px").alias("px"), F.coalesce("qv", "pv").alias("pv"), F.col("qx").isNull().alias("done"))
         walk = materialize(moved, "walk")
-        n = walk.filter("not done").count()
-        if n == 0 or n == last:  # what no longer gets shorter is rings
+        open_ = walk.filter("not done").count()
+        if open_ == 0 or open_ == last:  # what no longer gets shorter is rings
             break
-        last = n
+        last = open_
     reached = walk.filter("done").select("x", "v", F.col("pv").alias("end"))
     ends = reached.groupBy("v").agg(F.min("end").alias("e1"), F.max("end").alias("e2"), F.min("x").alias("x1"), F.max("x").alias("x2"))
     ends = materialize(ends.filter("e1 is not null"), "ends")
@@ -79,7 +86,7 @@ def _compress(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept.unionByName(short).distinct(), ends.select("v", F.col("e1").alias("parent"))
 
 
-def _solve(edges: DataFrame) -> DataFrame:
+def _solve(edges: DataFrame, n: int) -> DataFrame:
     """(v, label) of every vertex of ``edges``: the smallest vertex of its component, by alternating large and small
     stars. Each round's edges are written out; the number of rounds grows with the logarithm of the core."""
     edges = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("w")).filter("u <> w").distinct(), "core")
@@ -89,11 +96,11 @@ def _solve(edges: DataFrame) -> DataFrame:
         low = edges.groupBy("u").agg(F.min("w").alias("m"))
         both = edges.select("u", "w").unionByName(edges.select(F.col("w").alias("u"), F.col("u").alias("w")))
         least = low.join(edges.select(F.col("w").alias("u")).distinct(), "u", "full").select("u", F.coalesce("m", "u").alias("m"))
-        large = skew_join(both.filter("w > u"), least, "u").select(F.col("w").alias("u"), F.col("m").alias("w")).filter("u <> w").distinct()
+        large = _hub_join(both.filter("w > u"), least, "u", n).select(F.col("w").alias("u"), F.col("m").alias("w")).filter("u <> w").distinct()
         large = materialize(large, "large")
         # Small star: u and its smaller neighbours are linked to the least of them.
         low = large.groupBy("u").agg(F.min("w").alias("m"))
-        joined = skew_join(large, low, "u")
+        joined = _hub_join(large, low, "u", n)
         small = joined.select(F.col("w").alias("u"), F.col("m").alias("w")).unionByName(low.select("u", F.col("m").alias("w"))).filter("u <> w").distinct()
         edges = materialize(small, "small")
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "w").cast("decimal(38,0)"))).head()
@@ -103,17 +110,18 @@ def _solve(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("v"), F.col("w").alias("label"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, reduce: bool = True) -> DataFrame:
     """``v``, ``root`` for every vertex of the undirected graph ``edges`` (columns ``a``, ``b``, any one type that
-    orders). Loops and repeated edges are allowed; null ends are ignored. An empty graph gives no rows."""
+    orders). Loops and repeated edges are allowed; null ends are ignored. An empty graph gives no rows. Without ``reduce``
+    the whole graph is the core, which suits graphs of many small dense components."""
     now = edges.filter("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     now = materialize(now, "edges")
     n = now.count()
-    vertices = now
+    vertices, size = now, n
     undo: list[DataFrame] = []
     stripping = True
-    while n:
-        part, removed = _strip(now) if stripping else _compress(now)
+    while n and reduce:
+        part, removed = _strip(now, n) if stripping else _compress(now, n)
         part = materialize(part, "edges")
         undo.append(materialize(removed, "removed"))
         left = part.count()
@@ -124,14 +132,14 @@ def components(edges: DataFrame) -> DataFrame:
             stripping = False
         elif not stripping:
             stripping = True
-    roots = materialize(_solve(now), "labels") if n else None
+    roots = materialize(_solve(now, n), "labels") if n else None
     labels = None if roots is None else roots.select("v", F.col("label").alias("root"))
     for removed in reversed(undo):
         parents = removed.withColumnRenamed("parent", "p")
         if labels is None:
             labels = removed.select("v", F.col("parent").alias("root"))
             continue
-        found = skew_join(parents, labels.select(F.col("v").alias("p"), "root"), "p", "left")
+        found = _hub_join(parents, labels.select(F.col("v").alias("p"), "root"), "p", size, "left")
         fresh = found.select("v", F.coalesce("root", "p").alias("root"))
         labels = materialize(labels.unionByName(fresh), "labels")
     if labels is None:

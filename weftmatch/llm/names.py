@@ -31,11 +31,16 @@ from .plaintext import plain_array
 from .segments import edit_join
 
 NAME_EDITS, SERIES_EDITS = 3, 2
+#: A title is a misspelling of a common one only if it is at most this share as frequent.
+RARE_TITLE = 0.25
+#: Words of by-names that are compared in an expression; where there are more, by joins.
+FEW_WORDS = 2_000
 
 # Words before a name, endings after one, and endings of short forms.
 TITLES = frozenset("lord lady sir dame dr doctor prof professor princess prince king queen capt captain agent miss mister mr mrs ms master general commander saint st".split())
 HONORIFIC = re.compile(r"-(?:kun|chan|san|sama|sensei|senpai|dono|tan)\b", re.I)
 SHORT_ENDS = ("kins", "ie", "y", "o")
+SURE_SHORT_ENDS = ("kins", "ie", "y")
 # Small words that titles' initials skip, and what follows a title without naming another series.
 SMALL_WORDS = frozenset(("of", "and", "the", "a", "an", "in", "to"))
 SEASON = re.compile(r"\s*(?:\(tv\)|\(ova\)|\(movie\)|season \d+|\d+(?:st|nd|rd|th) season|\bs\d+|the movie|\bpart \d+)\s*$")
@@ -61,7 +66,7 @@ def fold(text: str) -> str:
 def parse_name(text: str | None) -> tuple[str, str, str] | None:
     """(kind, a, b) of a name in plain form; None where it names nobody.
 
-    Kinds: ``full`` has two parts; ``init`` an initial ``a`` and the other part ``b``; ``short`` a part marked as a
+    Kinds: ``full`` has two parts; ``byname`` too, after an article ("The Iron Hound"); ``init`` an initial ``a`` and the other part ``b``; ``short`` a part marked as a
     short form by an honorific, and the other part; ``one`` a single part ``a``."""
     if text is None or text.strip().lower() in STAND_INS or not text.strip():
         return None
@@ -80,8 +85,9 @@ def parse_name(text: str | None) -> tuple[str, str, str] | None:
                 parts.append((low, "\x00" in piece))
     while len(parts) > 1 and parts[0][0] in TITLES:
         parts = parts[1:]
+    by_name = "full"
     if len(parts) > 2 and parts[0][0] == "the":
-        parts = parts[1:]
+        parts, by_name = parts[1:], "byname"
     if not parts or all(p[0] in STAND_INS for p in parts):
         return None
     words = [p[0] for p in parts]
@@ -93,7 +99,7 @@ def parse_name(text: str | None) -> tuple[str, str, str] | None:
     singles = [i for i, w in enumerate(words) if len(w) == 1 and w.isascii()]
     if len(words) == 2 and len(singles) == 1:
         return "init", words[singles[0]], words[1 - singles[0]]
-    return "full", words[0], "".join(words[1:])
+    return by_name, words[0], "".join(words[1:])
 
 
 def parse_series(text: str | None) -> tuple[str, str, str]:
@@ -101,7 +107,7 @@ def parse_series(text: str | None) -> tuple[str, str, str]:
     of up to six letters may itself be initials. Empty where no series is named."""
     if text is None or text.strip().lower() in STAND_INS or not text.strip():
         return "", "", ""
-    low = re.sub(r"\s+", " ", fold(text)).strip()
+    low = re.sub(r"\s+", " ", fold(text).replace("&", " and ")).strip()
     while True:
         cut = SEASON.sub("", low)
         if cut == low or not cut:
@@ -113,11 +119,13 @@ def parse_series(text: str | None) -> tuple[str, str, str]:
         words = re.findall(r"[^\W_]+", title)
         return "".join(w[0] for i, w in enumerate(words) if i == 0 or w not in SMALL_WORDS)
 
-    main = " ".join(re.findall(r"[^\W_]+", main))
-    return main, initials(main) + initials(rest), initials(main)
+    words = re.findall(r"[^\W_]+", main)
+    main = " ".join(words)
+    whole, head = initials(main) + initials(rest), initials(main)
+    return (" ".join(words[1:]) if len(words) > 2 and words[0] == "the" else main), whole, head
 
 
-PARSED = "mongo_id string, name string, main string, whole string, head string, kind string, a string, b string, forms array<string>"
+PARSED = "mongo_id string, name string, main string, whole string, head string, kind string, a string, b string, forms array<string>, bynames array<string>"
 
 
 def parsed(items: DataFrame) -> DataFrame:
@@ -125,117 +133,195 @@ def parsed(items: DataFrame) -> DataFrame:
     two parts joined by a space, its own first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[str, str, str]] = {}
+        known: dict[str | None, tuple[str, str, str]] = {}
+        read: dict[str | None, tuple[str, str, str] | None] = {}
+
+        def name_of(text: str | None) -> tuple[str, str, str] | None:
+            if text not in read:
+                if len(read) > 50_000:
+                    read.clear()
+                read[text] = parse_name(text)
+            return read[text]
+
         for batch in batches:
             names, series, aliases = plain_array(batch.column(1)).to_pylist(), plain_array(batch.column(2)).to_pylist(), batch.column(3)
             flat = plain_array(aliases.flatten()).to_pylist()
             at = 0
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(8)]
             for name, title, size in zip(names, series, (0 if x is None else x for x in pc.list_value_length(aliases).to_pylist()), strict=True):
-                own = parse_name(name)
+                own = name_of(name)
                 if title not in known:
                     if len(known) > 50_000:
                         known.clear()
                     known[title] = parse_series(title)
                 forms = [own] if own else []
-                forms += [f for f in (parse_name(x) for x in flat[at : at + size]) if f]
+                forms += [f for f in map(name_of, flat[at : at + size]) if f]
                 at += size
                 kind, a, b = own or (None, "", "")
-                for column, value in zip(out, (*known[title], kind, a, b, list(dict.fromkeys(f"{x[1]} {x[2]}" for x in forms if x[0] == "full"))), strict=True):
+                for column, value in zip(out, (*known[title], kind, a, b, [f"{x[1]} {x[2]}" for x in forms if x[0] in ("full", "byname")], [f"{x[1]} {x[2]}" for x in forms if x[0] == "byname"]), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), *(pa.array(x, pa.string()) for x in out[:6]), pa.array(out[6], pa.list_(pa.string()))], ["mongo_id", "name", "main", "whole", "head", "kind", "a", "b", "forms"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), *(pa.array(x, pa.string()) for x in out[:6]), *(pa.array(x, pa.list_(pa.string())) for x in out[6:])], ["mongo_id", "name", "main", "whole", "head", "kind", "a", "b", "forms", "bynames"])
 
     return items.select("mongo_id", F.col("name").alias("n"), "anime_name", F.coalesce("name_aliases", F.array().cast("array<string>")).alias("x"), "name").mapInArrow(run, PARSED)
 
 
 def series_ids(rows: DataFrame) -> DataFrame:
-    """``main``, ``sid``: the series of every main title. A rare title goes to the most frequent one within
-    ``SERIES_EDITS`` edits, initials to the one series they fit; unknown initials stay a title of their own."""
+    """``main``, ``sid`` (a hash of the title, 0 for none): the series of every main title. A rare title goes to the most frequent one within
+    ``SERIES_EDITS`` edits, initials to the one series they fit; initials that fit none or several name no series."""
     titles = materialize(rows.filter("main <> ''").groupBy("main").agg(F.count(F.lit(1)).alias("n"), F.max("whole").alias("whole"), F.max("head").alias("head")), "titles")
     word = (F.length("main") <= 6) & ~F.col("main").contains(" ")
     long = titles.filter(~word).select(F.col("main").alias("text"), "n")
-    near = edit_join(long, long, SERIES_EDITS).filter("l <> r")
-    near = near.join(long.select(F.col("text").alias("r"), "n"), "r").join(long.select(F.col("text").alias("l"), F.col("n").alias("m")), "l").filter("n > m or (n = m and r < l)")
+    near = edit_join(long.select("text"), long.select("text"), SERIES_EDITS).filter("l <> r")
+    near = near.join(long.select(F.col("text").alias("r"), "n"), "r").join(long.select(F.col("text").alias("l"), F.col("n").alias("m")), "l").filter(F.col("m") <= F.greatest(F.lit(1), F.col("n") * RARE_TITLE)).filter("n > m or (n = m and r < l)")
     up = materialize(near.groupBy("l").agg(F.max_by("r", F.struct("n", "r")).alias("top")), "series")
     step = up.join(up.select(F.col("l").alias("top"), F.col("top").alias("next")), "top", "left").select("l", F.coalesce("next", "top").alias("top"))
     sid = long.select(F.col("text").alias("main")).join(step.withColumnRenamed("l", "main"), "main", "left").select("main", F.coalesce("top", "main").alias("sid"))
     known = titles.filter(~word).join(sid, "main")
     spelt = known.select(F.explode(F.array("whole", "head")).alias("main"), "sid").distinct().groupBy("main").agg(F.count(F.lit(1)).alias("c"), F.first("sid").alias("sid")).filter("c = 1")
-    short = titles.filter(word).select("main").join(spelt.select("main", "sid"), "main", "left").select("main", F.coalesce("sid", "main").alias("sid"))
-    return sid.unionByName(short)
+    short = titles.filter(word).select("main").join(spelt.select("main", "sid"), "main", "left").select("main", "sid")
+    return sid.unionByName(short).select("main", F.when(F.col("sid").isNull(), F.lit(0).cast("bigint")).otherwise(F.xxhash64("sid")).alias("sid"))
 
 
 def _flip(form: Column) -> Column:
     return F.concat(F.substring_index(form, " ", -1), F.lit(" "), F.substring_index(form, " ", 1))
 
 
-def _close(l: Column, r: Column) -> Column:
+def _close(l: Column, r: Column, sure: Column) -> Column:
     """Whether two spellings of a full name (parts in the same order) are one name: few edits in each part, fewer in a
-    short part, and not a change in the first letter and elsewhere at once."""
+    short part. Without a ``sure`` series only one edit is allowed; where letters only changed places, one more."""
     la, lb, ra, rb = F.substring_index(l, " ", 1), F.substring_index(l, " ", -1), F.substring_index(r, " ", 1), F.substring_index(r, " ", -1)
     da, db = F.levenshtein(la, ra), F.levenshtein(lb, rb)
     small = lambda x, y, d: d <= F.when(F.least(F.length(x), F.length(y)) <= 3, 1).otherwise(2)
-    return small(la, ra, da) & small(lb, rb, db) & (da + db <= 3)
+    letters = lambda x: F.array_sort(F.split(x, ""))
+    same = (letters(la) == letters(ra)) & (letters(lb) == letters(rb))
+    return small(la, ra, da) & small(lb, rb, db) & (da + db <= F.when(sure, 3).otherwise(1) + F.when(same, 1).otherwise(0))
+
+
+def _plain_first(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``forms`` distinct and by-names last, and ``proper``, the forms that are none.
+
+    A by-name ("The Iron Hound", "Iron Hound") is a full name both of whose words stand in such a place after an
+    article somewhere in the data. It says who is meant within a series, but not without one."""
+    words = rows.select(F.explode("bynames").alias("form")).distinct()
+    first, second = words.select(F.substring_index("form", " ", 1).alias("w1")).distinct(), words.select(F.substring_index("form", " ", -1).alias("w2")).distinct()
+    heads, tails = (d.limit(FEW_WORDS + 1).toPandas().iloc[:, 0].tolist() for d in (first, second))
+    if max(len(heads), len(tails)) > FEW_WORDS:
+        return _plain_first_joined(rows, first, second)
+    one, two = F.array(*map(F.lit, heads)).cast("array<string>"), F.array(*map(F.lit, tails)).cast("array<string>")
+    told = lambda f: F.array_contains(one, F.substring_index(f, " ", 1)) & F.array_contains(two, F.substring_index(f, " ", -1))
+    forms = F.array_distinct("forms")
+    proper = F.filter(forms, lambda f: ~told(f))
+    return rows.drop("bynames").withColumn("proper", proper).withColumn("forms", F.array_distinct(F.concat("proper", "forms")))
+
+
+def _plain_first_joined(rows: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+    """``_plain_first`` where the words are too many for an expression."""
+    long = rows.select("mongo_id", F.posexplode("forms").alias("at", "form")).withColumn("w1", F.substring_index("form", " ", 1)).withColumn("w2", F.substring_index("form", " ", -1))
+    seen = long.join(first.withColumn("is1", F.lit(True)), "w1", "left").join(second.withColumn("is2", F.lit(True)), "w2", "left")
+    told = F.coalesce(F.col("is1") & F.col("is2"), F.lit(False))
+    back = seen.groupBy("mongo_id").agg(F.array_sort(F.collect_list(F.struct(told.alias("byname"), "at", "form"))).alias("x"))
+    names = back.select("mongo_id", F.array_distinct(F.col("x.form")).alias("forms"), F.array_distinct(F.filter("x", lambda v: ~v["byname"])["form"]).alias("proper"))
+    empty = F.array().cast("array<string>")
+    return rows.drop("forms", "bynames").join(names, "mongo_id", "left").withColumn("forms", F.coalesce("forms", empty)).withColumn("proper", F.coalesce("proper", empty))
+
+
+ENDS = "(?:" + "|".join(SHORT_ENDS) + ")$"
+SURE_ENDS = "(?:" + "|".join(SURE_SHORT_ENDS) + ")$"
+
+
+def _stem(c: Column | str) -> Column:
+    return F.regexp_replace(c, ENDS, "")
+
+
+def _one(rows: DataFrame, *by: str) -> DataFrame:
+    """Of (by, ent) the rows whose ``by`` has one ``ent`` only."""
+    return rows.groupBy(*by).agg(F.min("ent").alias("ent"), F.max("ent").alias("hi")).filter("ent = hi").drop("hi")
+
+
+def _moves(known: DataFrame, two: DataFrame) -> DataFrame:
+    """(from_ent, to_ent): characters that are another's short form, or that have no series and another's name.
+
+    A short form shares one part with the longer name, and its stem begins the longer part ('Netho X', 'Nethalia X');
+    a misspelt one with a sure ending begins with the same two letters. Each has one possible goal, else it stays."""
+    goal = two.filter("sid <> 0").select("sid", "part", F.substring("other", 1, 2).alias("two"), "other", "ent")
+    cut = two.select("sid", "part", F.substring("other", 1, 2).alias("two"), F.col("other").alias("nick"), F.explode(F.array_distinct(F.array("other", _stem("other")))).alias("stem"), F.col("ent").alias("from_ent")).filter("length(stem) >= 2")
+    longer = F.col("other").startswith(F.col("stem")) & (F.length("other") > F.length("stem") + 1) & (_stem("other") != F.col("stem")) & (F.col("other") != F.col("nick")) & (F.col("from_ent") != F.col("ent"))
+    near = cut.filter("sid <> 0").join(goal, ["sid", "part", "two"]).filter(longer).select("from_ent", "ent")
+    afar = cut.filter("sid = 0").drop("sid").join(goal.drop("sid"), ["part", "two"]).filter(longer).select("from_ent", "ent")
+    fits = materialize(near.unionByName(afar).distinct(), "fits")
+    rest = two.filter(F.col("other").rlike(SURE_ENDS) & (F.col("sid") != 0)).join(fits.select(F.col("from_ent").alias("ent")), "ent", "left_anti")
+    vague = rest.select("sid", "part", F.substring("other", 1, 2).alias("two"), F.col("ent").alias("from_ent")).join(goal.filter(~F.col("other").rlike(SURE_ENDS)), ["sid", "part", "two"]).filter("from_ent <> ent and length(other) > 3").select("from_ent", "ent")
+    short = _one(fits.unionByName(vague), "from_ent")
+    # Names without a series: the one character anywhere that has the name, exactly or else within an edit.
+    named = known.filter("sid <> 0").select("text", "ent").distinct()
+    lone = known.filter("sid = 0").select("text", F.col("ent").alias("from_ent")).distinct()
+    exact = materialize(lone.join(named, "text").select("from_ent", "ent").distinct(), "exact")
+    left = lone.join(exact.select("from_ent"), "from_ent", "left_anti").select(F.explode(F.array("text", _flip(F.col("text")))).alias("text"), "from_ent")
+    loose = edit_join(left.select("text").distinct(), named.select("text").distinct(), 2)
+    loose = loose.filter((F.col("distance") == 1) | (F.array_sort(F.split("l", "")) == F.array_sort(F.split("r", ""))))
+    loose = loose.join(left.withColumnRenamed("text", "l"), "l").join(named.withColumnRenamed("text", "r"), "r").select("from_ent", "ent")
+    placed = materialize(_one(exact.unionByName(loose), "from_ent"), "placed")
+    moves = materialize(placed.unionByName(short.join(placed.select("from_ent"), "from_ent", "left_anti")).withColumnRenamed("ent", "to_ent"), "moves")
+    step = moves.select(F.col("from_ent").alias("to_ent"), F.col("to_ent").alias("next"))
+    return materialize(moves.join(step, "to_ent", "left").select("from_ent", F.coalesce("next", "to_ent").alias("to_ent")), "moves")
 
 
 def characters(items: DataFrame) -> DataFrame:
     """``mongo_id``, ``name``, ``character`` of every item whose name could be placed: items of one character mean the
     same person of the same series.
 
-    ``items`` has one row per ``mongo_id`` with ``name``, ``name_aliases`` (null or empty allowed, blanks and nulls
+    ``items`` has one distinct row per ``mongo_id`` with ``name``, ``name_aliases`` (null or empty allowed, blanks and nulls
     inside too) and ``anime_name``. Null, blank and stand-in names give no row. Extra columns are ignored."""
     rows = materialize(parsed(items).filter("kind is not null"), "parsed")
     series = materialize(series_ids(rows), "sids")
-    rows = materialize(skew_join(rows.drop("whole", "head"), series, "main", "left").withColumn("sid", F.coalesce("sid", F.lit(""))).drop("main"), "placed")
-    # Nodes: one full name in one series. A name and its flipped form are one node.
+    rows = skew_join(rows.drop("whole", "head"), series, "main", "left").withColumn("sid", F.coalesce("sid", F.lit(0).cast("bigint"))).drop("main")
+    # Without a series only proper names count, and an item without one stands alone.
+    rows = _plain_first(rows).withColumn("forms", F.when(F.col("sid") == 0, F.col("proper")).otherwise(F.col("forms"))).drop("proper")
+    rows = materialize(rows, "placed")
+    # Nodes: one full name in one series, by a 64-bit hash. A name and its flipped form are one node.
     key = lambda f: F.least(f, _flip(f))
-    uses = rows.select("sid", F.explode("forms").alias("form"))
-    forms = materialize(uses.groupBy("sid", "form").agg(F.count(F.lit(1)).alias("n")).withColumn("node", F.concat_ws("\x01", "sid", key(F.col("form")))), "forms")
-    nodes = forms.select("sid", F.col("form").alias("text")).distinct()
+    forms = materialize(rows.select("sid", F.explode("forms").alias("form")).distinct().withColumn("text", key(F.col("form"))).withColumn("node", F.xxhash64("sid", "text")), "forms")
+    nodes = forms.select("sid", "text").distinct()
     both = nodes.unionByName(nodes.select("sid", _flip(F.col("text")).alias("text"))).distinct()
-    near = edit_join(nodes, both, NAME_EDITS, "sid").filter("l <> r").filter(_close(F.col("l"), F.col("r")))
-    node = lambda c: F.concat_ws("\x01", "sid", key(F.col(c)))
+    sure = edit_join(nodes.filter("sid <> 0"), both.filter("sid <> 0"), NAME_EDITS, "sid", one_way=True)
+    unsure = edit_join(nodes.filter("sid = 0"), both.filter("sid = 0"), 2, "sid", one_way=True)
+    near = sure.unionByName(unsure).filter("l <> r").filter(_close(F.col("l"), F.col("r"), F.col("sid") != 0))
+    node = lambda c: F.xxhash64("sid", key(F.col(c)))
     typed = near.select(node("l").alias("a"), node("r").alias("b"))
     alias = rows.filter("size(forms) > 1").select("sid", F.col("forms")[0].alias("l"), F.explode(F.slice("forms", 2, 1 << 20)).alias("r")).select(node("l").alias("a"), node("r").alias("b"))
-    linked = components(typed.unionByName(alias))
-    known = forms.select("sid", "form", "node").join(linked.withColumnRenamed("v", "node"), "node", "left").select("sid", "form", F.coalesce("root", "node").alias("ent"))
-    known = materialize(known, "known")
+    linked = components(typed.unionByName(alias), reduce=False)
+    known = materialize(forms.join(linked.withColumnRenamed("v", "node"), "node", "left").select("sid", "form", "text", F.coalesce("root", "node").alias("ent")), "known")
     # Parts of the full names of every character, for what is less than a full name.
-    a, b = F.substring_index("form", " ", 1), F.substring_index("form", " ", -1)
-    two = known.select("sid", a.alias("part"), b.alias("other"), "ent").unionByName(known.select("sid", b.alias("part"), a.alias("other"), "ent"))
+    a, b = F.substring_index("text", " ", 1), F.substring_index("text", " ", -1)
+    two = known.select("sid", F.explode(F.array(F.struct(a.alias("part"), b.alias("other")), F.struct(b.alias("part"), a.alias("other")))).alias("x"), "ent").select("sid", "x.part", "x.other", "ent")
     two = materialize(two.distinct(), "parts")
-    ends = "(?:" + "|".join(SHORT_ENDS) + ")$"
-    # Short forms: 'Netho X' for 'Nethalia X'. The other part is the same, the stem begins the longer part.
-    stem = lambda c: F.regexp_replace(c, ends, "")
-    nick = two.filter(F.col("other").rlike(ends)).select("sid", "part", F.col("other").alias("nick"), stem("other").alias("stem"), F.col("ent").alias("from_ent")).filter("length(stem) >= 2")
-    fits = nick.join(two.withColumnRenamed("ent", "to_ent"), ["sid", "part"]).filter("from_ent <> to_ent and other <> nick").filter(F.col("other").startswith(F.col("stem")) & (F.length("other") > F.length("stem") + 1) & (stem("other") != F.col("stem")))
-    merges = fits.filter("sid <> ''").groupBy("from_ent").agg(F.min("to_ent").alias("to_ent"), F.max("to_ent").alias("hi")).filter("to_ent = hi").select("from_ent", "to_ent")
-    # Items without a series: the one character anywhere that has the name.
-    lone = known.filter("sid = ''").select(key(F.col("form")).alias("k"), F.col("ent").alias("from_ent")).distinct()
-    anywhere = known.filter("sid <> ''").select(key(F.col("form")).alias("k"), F.col("ent").alias("to_ent")).distinct()
-    exact = lone.join(anywhere, "k").groupBy("from_ent").agg(F.min("to_ent").alias("to_ent"), F.max("to_ent").alias("hi"))
-    left = known.filter("sid = ''").select("form", F.col("ent").alias("from_ent")).distinct().join(exact.select("from_ent"), "from_ent", "left_anti")
-    loose = edit_join(left.select(F.col("form").alias("text")).distinct(), both.filter("sid <> ''").select("text").distinct(), 2)
-    loose = loose.select(F.col("l").alias("form"), key(F.col("r")).alias("k")).join(left, "form").join(anywhere, "k").groupBy("from_ent").agg(F.min("to_ent").alias("to_ent"), F.max("to_ent").alias("hi"))
-    placed = exact.unionByName(loose).filter("to_ent = hi").select("from_ent", "to_ent")
-    moves = materialize(merges.unionByName(placed).groupBy("from_ent").agg(F.min("to_ent").alias("to_ent")), "moves")
-    twice = moves.join(moves.select(F.col("from_ent").alias("to_ent"), F.col("to_ent").alias("next")), "to_ent", "left").select("from_ent", F.coalesce("next", "to_ent").alias("to_ent"))
-    moves = materialize(twice, "moves")
+    moves = _moves(known, two)
     final = lambda d: d.join(moves.withColumnRenamed("from_ent", "ent"), "ent", "left").withColumn("ent", F.coalesce("to_ent", "ent")).drop("to_ent")
-    ent_of = materialize(final(known).select("sid", "form", "ent").distinct(), "ents")
+    ent_of = final(known.select("sid", "form", "ent"))
     parts = materialize(final(two).distinct(), "parts")
     # Items with a full name, or with a full name among their aliases.
     named = rows.filter("size(forms) > 0").select("sid", "mongo_id", "name", F.col("forms")[0].alias("form"))
     full = named.join(ent_of, ["sid", "form"]).select("mongo_id", "name", F.col("ent").alias("character"))
-    rest = rows.filter("size(forms) = 0 and sid <> ''").select("sid", "mongo_id", "name", "kind", "a", "b")
-    wants = materialize(rest.select("sid", "kind", "a", "b").distinct(), "wants")
-    pair = wants.filter("kind in ('init', 'short')").join(parts.withColumnRenamed("part", "b"), ["sid", "b"]).filter(F.when(F.col("kind") == "init", F.col("other").startswith(F.col("a"))).otherwise(F.col("other").startswith(F.regexp_replace("a", ends, "")) | F.col("other").startswith(F.col("a"))))
-    joined = parts.select("sid", F.concat("part", "other").alias("a"), "ent")
-    single = wants.filter("kind = 'one'").join(parts.select("sid", F.col("part").alias("a"), "ent").unionByName(joined).distinct(), ["sid", "a"])
-    fit = pair.select("sid", "kind", "a", "b", "ent").unionByName(single.select("sid", "kind", "a", "b", "ent"))
-    one = fit.groupBy("sid", "kind", "a", "b").agg(F.min("ent").alias("ent"), F.max("ent").alias("hi")).filter("ent = hi").drop("hi")
-    alone = F.concat_ws("\x01", "sid", "kind", "a", "b")
-    less = rest.join(one, ["sid", "kind", "a", "b"], "left").select("mongo_id", "name", F.coalesce("ent", alone).alias("character"))
+    # Within a series its own characters; without one, those of any series; failing both, those of unknown series.
+    rest = materialize(rows.filter("size(forms) = 0").select("sid", "mongo_id", "name", "kind", "a", "b"), "rest")
+    wants = rest.select("sid", "kind", "a", "b").distinct().withColumn("p", F.when(F.col("kind") == "init", F.substring("a", 1, 1)).otherwise(F.substring("a", 1, 2)))
+    begins = F.when(F.col("kind") == "init", F.col("other").startswith(F.col("a"))).otherwise(F.col("other").startswith(_stem("a")) | F.col("other").startswith(F.col("a")))
+    columns = ["sid", "kind", "a", "b", "ent"]
+    part = parts.select("sid", F.col("part").alias("b"), F.explode(F.array(F.substring("other", 1, 1), F.substring("other", 1, 2))).alias("p"), "other", "ent")
+    partial, single = wants.filter("kind in ('init', 'short')"), wants.filter("kind = 'one' and sid <> 0")
+    fit = partial.filter("sid <> 0").join(part, ["sid", "b", "p"]).filter(begins).select(*columns)
+    fit = fit.unionByName(partial.filter("sid = 0").join(part.drop("sid"), ["b", "p"]).filter(begins).select(*columns))
+    whole = parts.select("sid", F.explode(F.array("part", F.concat("part", "other"))).alias("a"), "ent").distinct()
+    fit = materialize(fit.unionByName(single.join(whole, ["sid", "a"]).select(*columns)).distinct(), "fit")
+    none = materialize(wants.filter("sid <> 0").join(fit, ["sid", "kind", "a", "b"], "left_anti"), "none")
+    later = none.filter("kind in ('init', 'short')").join(part.filter("sid = 0").drop("sid"), ["b", "p"]).filter(begins).select(*columns)
+    shorts = none.filter("kind = 'short'").join(part, ["sid", "b", "p"]).select(*columns)
+    misspelt = none.filter("kind = 'one' and length(a) > 4")
+    typo = edit_join(misspelt.select("sid", F.col("a").alias("text")).distinct(), parts.select("sid", F.col("part").alias("text")).distinct(), 1, "sid")
+    typo = typo.join(parts.select("sid", F.col("part").alias("r"), "ent"), ["sid", "r"]).select("sid", F.col("l").alias("a"), "ent")
+    fit = fit.unionByName(later).unionByName(shorts).unionByName(misspelt.join(typo, ["sid", "a"]).select(*columns))
+    alone = F.when(F.col("sid") == 0, F.xxhash64("mongo_id")).otherwise(F.xxhash64("sid", "kind", "a", "b"))
+    less = rest.join(_one(fit, "sid", "kind", "a", "b"), ["sid", "kind", "a", "b"], "left").select("mongo_id", "name", F.coalesce("ent", alone).alias("character"))
     return full.unionByName(less)
 
 

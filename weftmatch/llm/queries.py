@@ -32,14 +32,19 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return p3_representatives(spark, sf).filter("dominant").select("item_key", "mongo_id")
 
 
+def _named(spark: SparkSession, sf: str) -> DataFrame:
+    """An item's deliveries differ in time and batch only, so its names are one distinct row."""
+    return table(spark, sf, "item_snapshots").filter("mongo_id is not null").select("mongo_id", "name", "name_aliases", "anime_name").distinct()
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of items whose differing names mean the same character of the same series."""
-    return name_links(items(spark, sf, "name", "name_aliases", "anime_name"))
+    return name_links(_named(spark, sf))
 
 
 def p4_characters(spark: SparkSession, sf: str) -> DataFrame:
     """Every item with a usable name and the character it was placed with."""
-    return characters(items(spark, sf, "name", "name_aliases", "anime_name"))
+    return characters(_named(spark, sf))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

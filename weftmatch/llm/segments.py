@@ -8,7 +8,7 @@ every pair within ``k``; strings of ``k`` characters or fewer are joined by leng
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import cache
 
 import pyarrow as pa
@@ -39,34 +39,40 @@ def lookups(length: int, k: int, shorter_only: bool) -> tuple[tuple[int, int, in
     return tuple(out)
 
 
-def _explode(df: DataFrame, text: str, keep: list[str], plan, name: str) -> DataFrame:
-    """``keep`` columns with ``tag`` and ``seg`` for every (tag, start, size) that ``plan`` gives for the text."""
-    types = dict(df.dtypes)
+def _explode(df: DataFrame, keep: str, plan: Callable[[int], Sequence[tuple[int, int, int]]], group: bool) -> DataFrame:
+    """Column ``keep`` (and ``g`` where grouped) with ``key``, a hash of group, tag and substring, for every (tag,
+    start, size) that ``plan`` gives for the text's length. The hash only blocks; the join verifies what it brings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, tag, seg = [], [], []
+            row, seg = [], []
             for r, t in enumerate(batch.column(0).to_pylist()):
-                for g, p, n in plan(len(t)):
+                for tag, p, n in plan(len(t)):
                     row.append(r)
-                    tag.append(g)
-                    seg.append(t[p : p + n])
+                    seg.append(f"{tag}:{t[p : p + n]}")
             at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i + 1).take(at) for i in range(len(keep))), pa.array(tag, pa.int32()), pa.array(seg, pa.string())], [*keep, "tag", "seg"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(batch.num_columns)), pa.array(seg, pa.string())], [*batch.schema.names, "seg"])
 
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "tag int", "seg string"])
-    del name
-    return df.select(text, *keep).filter(F.col(text).isNotNull()).mapInArrow(run, schema)
+    columns, schema = ([keep, "g"], f"{keep} string, g bigint, seg string") if group else ([keep], f"{keep} string, seg string")
+    out = df.select(*columns).filter(F.col(keep).isNotNull()).mapInArrow(run, schema)
+    return out.select(*columns, F.xxhash64(*(["g"] if group else []), "seg").alias("key"))
 
 
-def edit_join(left: DataFrame, right: DataFrame, k: int, within: str | None = None) -> DataFrame:
+def edit_join(left: DataFrame, right: DataFrame, k: int, within: str | None = None, one_way: bool = False) -> DataFrame:
     """Pairs (``l``, ``r``, ``distance``, and ``within``) of distinct values of ``left.text`` and ``right.text`` within
     ``k`` edits, in one group of ``within`` where given. Both sides should be distinct already. Nulls match nothing; the
-    empty string is a string. Hot segments are spread by text length, segment number, group and content at once."""
-    more = [within] if within else []
-    a = left.select(*more, F.col("text").alias("l"))
-    b = right.select(*more, F.col("text").alias("r"))
-    index = _explode(b.withColumn("t", F.col("r")), "t", [*more, "r"], lambda n: [(n * (k + 1) + i, s, z) for i, (s, z) in enumerate(cuts(n, k)) if z or i == 0], "index")
-    probe = _explode(a.withColumn("t", F.col("l")), "t", [*more, "l"], lambda n: lookups(n, k, False), "probe")
-    pairs = probe.join(index, [*more, "tag", "seg"]).filter(F.levenshtein("l", "r", k) >= 0)
-    return pairs.select(*more, "l", "r").distinct().withColumn("distance", F.levenshtein("l", "r", k))
+    empty string is a string. Hot segments are spread by text length, segment number, group and content at once.
+
+    ``one_way`` gives each unordered pair of a self-join at least once, from its longer text, with half the lookups."""
+    g = [F.xxhash64(within).alias("g")] if within else []
+    a = left.select(*g, F.col("text").alias("l"))
+    b = right.select(*g, F.col("text").alias("r"))
+    index = _explode(b, "r", lambda n: [(n * (k + 1) + i, s, z) for i, (s, z) in enumerate(cuts(n, k)) if z or i == 0], bool(within))
+    probe = _explode(a, "l", lambda n: lookups(n, k, one_way), bool(within))
+    on = ["key", "g"] if within else ["key"]
+    pairs = probe.join(index, on).filter(F.levenshtein("l", "r", k) >= 0).drop("key").distinct()
+    pairs = pairs.withColumn("distance", F.levenshtein("l", "r", k))
+    if within:
+        groups = left.select(*g, within).distinct()
+        pairs = pairs.join(groups, "g").drop("g")
+    return pairs
