@@ -112,7 +112,7 @@ def pack(sizes: DataFrame, specs: DataFrame, group: int = GROUP, seed: int = 7)
     if len(chosen) > MOST_KINDS:
         raise ValueError(f"more than {MOST_KINDS} kinds of containers")
     kinds = sorted((r["container_kind"], int(r["c"])) for r in chosen)
-    some = sizes.filter("n_tokens > 0")
+    some = sizes.select("doc_id", "n_tokens").filter("n_tokens > 0")
     groups = max(1, -(-some.count() // group))
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
