@@ -46,7 +46,7 @@ def advance_watermark(current: Column, batch_end: Column, failed: Column) -> Col
 
 
 def _pieces(once: DataFrame, keys: Sequence[str], at: str, ttl_s: float, slot: str) -> DataFrame:
-    """``once`` with ``piece``, the start of its run of events with gaps of at most ``ttl_s``.
+    """``once`` with ``__piece``, the start of its run of events with gaps of at most ``ttl_s``.
 
     Windows run over (key, ``slot`` of time) and, for what one slot hands to the next, over the slots of a key, so no
     task sees all events of a hot key."""
@@ -62,7 +62,7 @@ def _pieces(once: DataFrame, keys: Sequence[str], at: str, ttl_s: float, slot: s
     rows = rows.withColumn("__own", F.max("__start").over(inside.rowsBetween(W.unboundedPreceding, 0)))
     starts = rows.groupBy(*keys, "__slot").agg(F.max("__start").alias("__last"))
     starts = starts.withColumn("__carried", F.max("__last").over(over.rowsBetween(W.unboundedPreceding, -1))).drop("__last")
-    return rows.join(starts, [*keys, "__slot"]).select(*keys, at, "__t", F.coalesce("__own", "__carried").alias("piece"))
+    return rows.join(starts, [*keys, "__slot"]).select(*keys, at, "__t", F.coalesce("__own", "__carried").alias("__piece"))
 
 
 def ttl_dedupe(events: DataFrame, keys: Sequence[str], at: str, ttl_s: float, slot: str = "day") -> DataFrame:
@@ -73,7 +73,7 @@ def ttl_dedupe(events: DataFrame, keys: Sequence[str], at: str, ttl_s: float, sl
     span = int(ttl_s * 1_000_000)
     once = events.select(*keys, at).dropna().distinct()
     pieces = _pieces(once, keys, at, ttl_s, slot)
-    names = [*keys, "piece"]
+    names = [*keys, "__piece"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, last = None, 0
@@ -109,7 +109,7 @@ def ordered_ema(events: DataFrame, keys: Sequence[str], at: str, tie: str, value
     group = [*keys, F.date_trunc(slot, F.col(at)).alias("__b")]
     runs = rows.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(at), F.col(tie), F.col(value).cast("double").alias("v")))), lambda x: x["v"]).alias("__x"))
     step = lambda a, x: F.lit(alpha) * x + F.lit(1 - alpha) * a
-    parts = runs.select(*keys, "__b", F.pow(F.lit(1 - alpha), F.size("__x")).alias("k"), F.aggregate("__x", F.lit(0.0), step).alias("r"), F.aggregate(F.slice("__x", 2, 1 << 30), F.col("__x")[0], step).alias("s"))
-    chain = F.array_sort(F.collect_list(F.struct("__b", "k", "r", "s")))
+    parts = runs.select(*keys, "__b", F.pow(F.lit(1 - alpha), F.size("__x")).alias("__k"), F.aggregate("__x", F.lit(0.0), step).alias("__r"), F.aggregate(F.slice("__x", 2, 1 << 30), F.col("__x")[0], step).alias("__s"))
+    chain = F.array_sort(F.collect_list(F.struct("__b", "__k", "__r", "__s")))
     out = parts.groupBy(*keys).agg(chain.alias("__c"))
-    return out.select(*keys, F.aggregate(F.slice("__c", 2, 1 << 30), F.try_element_at("__c", F.lit(1))["s"], lambda a, x: x["k"] * a + x["r"]).alias("ema"))
+    return out.select(*keys, F.aggregate(F.slice("__c", 2, 1 << 30), F.try_element_at("__c", F.lit(1))["__s"], lambda a, x: x["__k"] * a + x["__r"]).alias("ema"))
