@@ -41,6 +41,8 @@ TITLES = frozenset("lord lady sir dame dr doctor prof professor princess prince
 HONORIFIC = re.compile(r"-(?:kun|chan|san|sama|sensei|senpai|dono|tan)\b", re.I)
 SHORT_ENDS = ("kins", "ie", "y", "o")
 SURE_SHORT_ENDS = ("kins", "ie", "y")
+#: Letters of the longest short form without an ending of its own ('Bru' for 'Bruvel').
+SHORT_LETTERS = 5
 # Small words that titles' initials skip, and what follows a title without naming another series.
 SMALL_WORDS = frozenset(("of", "and", "the", "a", "an", "in", "to"))
 SEASON = re.compile(r"\s*(?:\(tv\)|\(ova\)|\(movie\)|season \d+|\d+(?:st|nd|rd|th) season|\bs\d+|the movie|\bpart \d+)\s*$")
@@ -244,7 +246,7 @@ def _moves(known: DataFrame, two: DataFrame) -> DataFrame:
     A short form shares one part with the longer name, and its stem begins the longer part ('Netho X', 'Nethalia X');
     a misspelt one with a sure ending begins with the same two letters. Each has one possible goal, else it stays."""
     goal = two.filter("sid <> 0").select("sid", "part", F.substring("other", 1, 2).alias("two"), "other", "ent")
-    cut = two.select("sid", "part", F.substring("other", 1, 2).alias("two"), F.col("other").alias("nick"), F.explode(F.array_distinct(F.array("other", _stem("other")))).alias("stem"), F.col("ent").alias("from_ent")).filter("length(stem) >= 2")
+    cut = two.select("sid", "part", F.substring("other", 1, 2).alias("two"), F.col("other").alias("nick"), F.explode(F.array_distinct(F.array("other", _stem("other")))).alias("stem"), F.col("ent").alias("from_ent")).filter(f"length(stem) >= 2 and (stem <> nick or length(nick) <= {SHORT_LETTERS})")
     longer = F.col("other").startswith(F.col("stem")) & (F.length("other") > F.length("stem") + 1) & (_stem("other") != F.col("stem")) & (F.col("other") != F.col("nick")) & (F.col("from_ent") != F.col("ent"))
     near = cut.filter("sid <> 0").join(goal, ["sid", "part", "two"]).filter(longer).select("from_ent", "ent")
     afar = cut.filter("sid = 0").drop("sid").join(goal.drop("sid"), ["part", "two"]).filter(longer).select("from_ent", "ent")
@@ -270,7 +272,7 @@ def characters(items: DataFrame) -> DataFrame:
     """``mongo_id``, ``name``, ``character`` of every item whose name could be placed: items of one character mean the
     same person of the same series.
 
-    ``items`` has one distinct row per ``mongo_id`` with ``name``, ``name_aliases`` (null or empty allowed, blanks and nulls
+    ``items`` has ``mongo_id`` (rows of one ``mongo_id`` are alike and count once) with ``name``, ``name_aliases`` (null or empty allowed, blanks and nulls
     inside too) and ``anime_name``. Null, blank and stand-in names give no row. Extra columns are ignored."""
     rows = materialize(parsed(items).filter("kind is not null"), "parsed")
     series = materialize(series_ids(rows), "sids")
@@ -280,8 +282,8 @@ def characters(items: DataFrame) -> DataFrame:
     rows = materialize(rows, "placed")
     # Nodes: one full name in one series, by a 64-bit hash. A name and its flipped form are one node.
     key = lambda f: F.least(f, _flip(f))
-    forms = materialize(rows.select("sid", F.explode("forms").alias("form")).distinct().withColumn("text", key(F.col("form"))).withColumn("node", F.xxhash64("sid", "text")), "forms")
-    nodes = forms.select("sid", "text").distinct()
+    nodes = materialize(rows.select("sid", F.explode("forms").alias("form")).select("sid", key(F.col("form")).alias("text")).distinct().withColumn("node", F.xxhash64("sid", "text")), "nodes")
+    forms, nodes = nodes, nodes.select("sid", "text")
     both = nodes.unionByName(nodes.select("sid", _flip(F.col("text")).alias("text"))).distinct()
     sure = edit_join(nodes.filter("sid <> 0"), both.filter("sid <> 0"), NAME_EDITS, "sid", one_way=True)
     unsure = edit_join(nodes.filter("sid = 0"), both.filter("sid = 0"), 2, "sid", one_way=True)
@@ -290,18 +292,18 @@ def characters(items: DataFrame) -> DataFrame:
     typed = near.select(node("l").alias("a"), node("r").alias("b"))
     alias = rows.filter("size(forms) > 1").select("sid", F.col("forms")[0].alias("l"), F.explode(F.slice("forms", 2, 1 << 20)).alias("r")).select(node("l").alias("a"), node("r").alias("b"))
     linked = components(typed.unionByName(alias), reduce=False)
-    known = materialize(forms.join(linked.withColumnRenamed("v", "node"), "node", "left").select("sid", "form", "text", F.coalesce("root", "node").alias("ent")), "known")
+    known = materialize(forms.join(linked.withColumnRenamed("v", "node"), "node", "left").select("sid", "text", "node", F.coalesce("root", "node").alias("ent")), "known")
     # Parts of the full names of every character, for what is less than a full name.
     a, b = F.substring_index("text", " ", 1), F.substring_index("text", " ", -1)
     two = known.select("sid", F.explode(F.array(F.struct(a.alias("part"), b.alias("other")), F.struct(b.alias("part"), a.alias("other")))).alias("x"), "ent").select("sid", "x.part", "x.other", "ent")
     two = materialize(two.distinct(), "parts")
     moves = _moves(known, two)
     final = lambda d: d.join(moves.withColumnRenamed("from_ent", "ent"), "ent", "left").withColumn("ent", F.coalesce("to_ent", "ent")).drop("to_ent")
-    ent_of = final(known.select("sid", "form", "ent"))
+    ent_of = final(known.select("node", "ent"))
     parts = materialize(final(two).distinct(), "parts")
     # Items with a full name, or with a full name among their aliases.
-    named = rows.filter("size(forms) > 0").select("sid", "mongo_id", "name", F.col("forms")[0].alias("form"))
-    full = named.join(ent_of, ["sid", "form"]).select("mongo_id", "name", F.col("ent").alias("character"))
+    named = rows.filter("size(forms) > 0").select("mongo_id", "name", F.xxhash64("sid", key(F.col("forms")[0])).alias("node"))
+    full = named.join(ent_of, "node").select("mongo_id", "name", F.col("ent").alias("character"))
     # Within a series its own characters; without one, those of any series; failing both, those of unknown series.
     rest = materialize(rows.filter("size(forms) = 0").select("sid", "mongo_id", "name", "kind", "a", "b"), "rest")
     wants = rest.select("sid", "kind", "a", "b").distinct().withColumn("p", F.when(F.col("kind") == "init", F.substring("a", 1, 1)).otherwise(F.substring("a", 1, 2)))
@@ -322,7 +324,7 @@ def characters(items: DataFrame) -> DataFrame:
     fit = fit.unionByName(later).unionByName(shorts).unionByName(misspelt.join(typo, ["sid", "a"]).select(*columns))
     alone = F.when(F.col("sid") == 0, F.xxhash64("mongo_id")).otherwise(F.xxhash64("sid", "kind", "a", "b"))
     less = rest.join(_one(fit, "sid", "kind", "a", "b"), ["sid", "kind", "a", "b"], "left").select("mongo_id", "name", F.coalesce("ent", alone).alias("character"))
-    return full.unionByName(less)
+    return full.unionByName(less).distinct()
 
 
 def name_links(items: DataFrame) -> DataFrame:

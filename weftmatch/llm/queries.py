@@ -33,8 +33,8 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _named(spark: SparkSession, sf: str) -> DataFrame:
-    """An item's deliveries differ in time and batch only, so its names are one distinct row."""
-    return table(spark, sf, "item_snapshots").filter("mongo_id is not null").select("mongo_id", "name", "name_aliases", "anime_name").distinct()
+    """Names of every delivery; an item's deliveries have the same ones."""
+    return table(spark, sf, "item_snapshots").filter("mongo_id is not null").select("mongo_id", "name", "name_aliases", "anime_name")
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
