@@ -1,0 +1,75 @@
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from weftmatch import options
+from weftmatch.operators import messages as M
+
+CHAT, USER = "struct<id bigint, username string, title string>", "struct<id bigint, username string, first_name string, last_name string, is_bot boolean>"
+SCHEMA = f"id int, text string, caption string, sender_chat {CHAT}, via_bot {USER}, from_user {USER}, forward_origin struct<chat {CHAT}, sender_user {USER}, sender_user_name string, message_id bigint>, photo array<struct<file_id string, file_unique_id string>>, animation struct<file_unique_id string>, document struct<file_unique_id string, mime_type string, file_name string>, reply_to_message struct<text string>"
+FIELDS = ["id", "text", "caption", "sender_chat", "via_bot", "from_user", "forward_origin", "photo", "animation", "document", "reply_to_message"]
+
+
+def make(spark, *rows):
+    return spark.createDataFrame([tuple(r.get(f) for f in FIELDS) for r in rows], SCHEMA)
+
+
+def test_sources_in_order(spark):
+    df = make(
+        spark,
+        dict(id=1, forward_origin=((5, "@@Fwd ", "T"), None, None, 9), sender_chat=(6, "other", "S")),
+        dict(id=2, via_bot=(7, "Via", None, None, None), from_user=(8, "b", None, None, True), text="see card  drop"),
+        dict(id=3, from_user=(8, "bot", None, None, True)),
+        dict(id=4, from_user=(8, "human", None, None, False), forward_origin=(None, (None, None, "Lantern", "Hunt", None), None, None)),
+        dict(id=5, forward_origin=(None, None, "Hidden ", None), text=" ", reply_to_message=("please USING: /Amber",)),
+        dict(id=6),
+    )
+    accounts = spark.createDataFrame([("username", "@fwd", "c1"), ("user", "7", "c2"), ("user", "8", "c3"), ("chat", "6", "c9"), ("user", "8", "c4")], "kind string, key string, collection string")
+    titles = spark.createDataFrame([("lantern hunt", "c5", 1)], "title string, collection string, ord int")
+    got = {r["id"]: r for r in M.attribute(df, accounts, titles, [("card\\s+drop", "c6")], [("hidden|please", "c7")]).collect()}
+    assert [got[i]["source_collection"] for i in range(1, 7)] == ["c1", "c2", "c3", "c5", "c7", None]
+    assert (got[1]["origin_chat_id"], got[1]["origin_message_id"], got[1]["source_title"]) == (5, 9, "T")
+    assert (got[4]["source_username"], got[4]["source_title"], got[5]["source_title"], got[5]["text_command"]) == (None, "Lantern Hunt", "Hidden", "/amber")
+
+
+def test_media_of_a_message(spark):
+    df = make(spark, dict(id=1, photo=[("a", "small"), ("b", "large")]), dict(id=2, animation=("gif",)), dict(id=3, document=("d", None, "x.MP4")), dict(id=4, document=("d", "text/plain", "x.txt")), dict(id=5, photo=[]))
+    got = df.select(*[c.alias(n) for n, c in M.media_columns(df).items()]).collect()
+    assert [tuple(r) for r in got] == [("photo", "large"), ("video", "gif"), ("video", "d"), (None, None), (None, None)]
+
+
+def test_commands_of_results(spark):
+    rows = [("/a", "/t", None, None, "/d", []), (None, None, "/r", "/x", "/d", ["/x"]), (None, None, None, "/x", "/d", None), (None, None, None, None, None, [])]
+    df = spark.createDataFrame(rows, "a string, t string, r string, x string, d string, k array<string>")
+    assert [r[0] for r in df.select(M.output_command(*[F.col(c) for c in "atrxdk"])).collect()] == ["/a", "/x", "/d", None]
+
+
+def test_gates(spark, rows):
+    settings = spark.createDataFrame([("g:1", None), ("g:2", False), ("g:3", True), ("x:4", True), ("g:y", True)], "key string, enabled boolean")
+    chats = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "chat int")
+    on = M.with_setting(chats, settings, F.concat(F.lit("g:"), F.col("chat").cast("string")))
+    assert rows(on, "chat", "is_enabled") == [(1, True), (2, False), (3, True), (4, False)]
+    assert rows(M.groups_in_settings(settings, "g")) == [(3,)]
+    flags = spark.createDataFrame([(False,) * 6, (True, True, False, True, False, True), (True, False, False, True, True, False), (True, False, False, False, True, False), (True, False, False, False, True, True)], "e boolean, p boolean, pa boolean, al boolean, ao boolean, ap boolean")
+    assert [r[0] for r in flags.select(M.gate(*[F.col(c) for c in ("e", "p", "pa", "al", "ao", "ap")])).collect()] == [False, False, True, False, True]
+    t = dt.datetime(2031, 1, 1)
+    events = spark.createDataFrame([(1, t), (2, t - dt.timedelta(1)), (3, None)], "i int, ts timestamp")
+    assert rows(M.recent(events, "ts", F.lit(t)), "i") == [(1,)]
+
+
+def test_membership_of_all_channels(spark, rows):
+    users = spark.createDataFrame([(1,), (2,), (3,)], "user_id int")
+    members = spark.createDataFrame([(1, 10), (1, 11), (2, 10), (2, 10), (2, 99)], "user_id int, channel_id int")
+    channels, free = spark.createDataFrame([(10,), (11,)], "channel_id int"), spark.createDataFrame([(3,)], "user_id int")
+    assert rows(M.all_joined(users, members, channels, free)) == [(1,), (3,)]
+    assert M.all_joined(users, members, channels.limit(0), free).count() == 3
+
+
+def test_options():
+    assert [options.flag(x, True) for x in ("Yes", "0", "what", None)] == [True, False, True, True]
+    assert [options.number(x, 5, 1, 9) for x in ("3", "x", "100", None)] == [3, 5, 9, 5]
+    assert [options.share(x, 0.5) for x in ("80", "0.8", "-1", "bad")] == [0.8, 0.8, 0.0, 0.5]
+    assert options.words(" a, b,,a ") == ["a", "b"] and options.ids("1, x, -5") == {1, -5}
+    assert options.usernames("@Ab, cd,@") == {"@ab", "@cd"}
+    assert options.pairs("a|b:/x, @Y:/z, bad, :q") == {"a|b": "/x", "@y": "/z"}
+    assert options.from_mapping({"WEFTMATCH_A": "1", "B": "2"}) == {"a": "1"}

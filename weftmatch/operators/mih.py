@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hexbits import bits64, chunks64, hamming64
+from ..session import small
 
 #: Chunk counts kept by the persisted index.
 COUNTS = (9, 13, 17)
@@ -54,6 +55,6 @@ def hamming_search(probes: DataFrame, items: DataFrame, field: str, t: int, comp
 def capped(candidates: DataFrame, order: DataFrame, most: int) -> DataFrame:
     """At most ``most`` candidates of each probe, by collection order and id: the limit is part of this operator's
     meaning, and the order makes it repeatable."""
-    ranked = candidates.join(F.broadcast(order.select("collection", "ord")), "collection", "left")
+    ranked = candidates.join(small(order.select("collection", "ord")), "collection", "left")
     w = W.partitionBy("probe_id").orderBy(F.col("ord").asc_nulls_last(), "mongo_id")
     return ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).drop("ord")

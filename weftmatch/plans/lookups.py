@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..functions.hexbits import hamming_hex, normalized_hamming
-from ..operators import attribution, bands, exact, incremental, mih, score, stats
+from ..operators import attribution, bands, exact, incremental, messages, mih, score, stats
 from ..operators.lookup import lookup, photo_lookup, video_lookup
 from ..sources.items import by_ids, delta, from_payload, to_payload
 from ..sources.tables import table
@@ -227,6 +227,17 @@ def title_sources(spark: SparkSession, sf: str) -> DataFrame:
     return attribution.title_match(items, dim, "heard").select("mongo_id", "title_collection")
 
 
+def message_attribution(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as messages from a chat named by their source, attributed by account, title and text rules."""
+    dim = table(spark, sf, "collection_dim")
+    accounts = dim.select(F.lit("username").alias("kind"), F.format_string("@feed_%02d", "ord").alias("key"), "collection")
+    titles = dim.select(F.regexp_replace("collection", "^items_", "").alias("title"), "collection", "ord")
+    chat = F.struct(F.lit(None).cast("bigint").alias("id"), F.col("source").alias("username"), F.concat_ws(" ", "kind", "collection").alias("title"))
+    docs = table(spark, sf, "documents").select("doc_id", "text", chat.alias("sender_chat"))
+    found = messages.attribute(docs, accounts, titles, CONTENT_RULES, CUSTOM_RULES)
+    return found.select("doc_id", "source_username", "source_collection", "text_command")
+
+
 def blocked_filter(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "lookup_events")
     banned = events.filter("reason = 'blocked_source'").select("chat_id").distinct()
@@ -327,7 +338,7 @@ def stored_payloads(spark: SparkSession, sf: str) -> DataFrame:
 _FNS = (
     exact_sha_lookup, exact_cascade_ranked, exact_scoped_only, unresolved_probes, writers_by_key, items_that_were_hit, hamming_search_phash, hamming_search_dhash, mih_candidate_counts, hash_chunk_index,
     hash_distances, photo_weighted_top1, photo_strict_top1, photo_single_hash_top1, video_multiframe_top1, video_strict_top1, full_lookup, duration_buckets, duration_band_counts, candidate_cap, first_present_alias,
-    string_lists, media_type_canonical, name_cleanup, normalized_names, text_scalars, content_rule_counts, commands_in_texts, lookup_scopes, title_sources, blocked_filter, formatted_results, build_counts,
+    string_lists, media_type_canonical, name_cleanup, normalized_names, text_scalars, content_rule_counts, commands_in_texts, lookup_scopes, title_sources, message_attribution, blocked_filter, formatted_results, build_counts,
     media_type_counts, filtered_count, distinct_union_count, delta_window, delta_scan, upsert_latest, first_and_last_seen, inserted_ids, chat_state, watermark, ttl_greedy_dedupe, latency_ema, latency_ema_total,
     hit_miss_counters, payload_codec, stored_payloads,
 )

@@ -154,6 +154,10 @@ SQL = {
 c as (select doc_id, source, nullif(trim(collection), '') as collection, {_COMMAND.format(x="text")} as command from documents)
 select doc_id, case when source = 'relay_main' then 'blocked' when collection is not null then 'source' when scope is not null then 'command' else 'all' end as mode, case when source = 'relay_main' then '' when collection is not null then collection else scope end as collections from c left join s using (command)""",
     "title_sources": f"{_I} select mongo_id, arg_min(d.collection, ord) as title_collection from i left join collection_dim d on contains('the ' || {_TITLE.format(x='''replace(replace(i.collection, 'items_', ''), '_', ' ')''')} || ' bot', {_TITLE.format(x='''replace(replace(d.collection, 'items_', ''), '_', ' ')''')}) group by 1",
+    "message_attribution": f"""with m as (select doc_id, text, '@' || regexp_replace(lower(trim(source)), '^@+', '') as source_username, {_TITLE.format(x="concat_ws(' ', kind, collection)")} as title from documents),
+d as (select *, {_TITLE.format(x="replace(replace(collection, 'items_', ''), '_', ' ')")} as t, '@feed_' || lpad(cast(ord as varchar), 2, '0') as account from collection_dim),
+h as (select doc_id, arg_min(d.collection, ord) as by_title from m join d on contains(m.title, d.t) or contains(d.t, m.title) group by 1)
+select m.doc_id, source_username, coalesce(a.collection, by_title, nullif({_RULES}, 'none')) as source_collection, {_COMMAND.format(x="text")} as text_command from m left join d a on a.account = source_username left join h using (doc_id)""",
     "blocked_filter": "select distinct id, chat_id from lookup_events where chat_id not in (select chat_id from lookup_events where reason = 'blocked_source')",
     "formatted_results": f"{_I} select mongo_id, concat_ws(chr(10), 'NAME: ' || {_clean('name')}, case when not coalesce({_clean('command')} in ('/amber', '/copper'), false) then 'ID: ' || {_clean('card_id')} end, case when not coalesce({_clean('command')} in ('/amber', '/copper'), false) then 'RARITY: ' || {_clean('rarity')} end) as text, concat_ws(' ', {_clean('command')}, {_clean('name')}) as \"full\" from i",
     "build_counts": "select lower(trim(collection)) as collection, count(*) as n_items from item_snapshots group by 1",

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -67,6 +68,11 @@ def remove_at_exit(spark: SparkSession, path: str) -> None:
     _written.append((spark, path))
 
 
+def small(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``BROADCAST_ROWS`` rows, else left to an ordinary join."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def discard(df: DataFrame) -> None:
     """Remove a table of ``materialize`` that no later step reads."""
     path = getattr(df, "_weftmatch_path", None)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
+from ..session import small
 
 # The names that one field goes by in raw documents, in order.
 ALIASES = {
@@ -80,7 +81,7 @@ def parse_items(raw: DataFrame, collections: DataFrame | None = None) -> DataFra
     ).filter("name is not null")
     if collections is None:
         return out
-    return out.join(F.broadcast(collections.select("collection", "default_command")), "collection", "left").withColumn("command", F.coalesce("command", "default_command")).drop("default_command")
+    return out.join(small(collections.select("collection", "default_command")), "collection", "left").withColumn("command", F.coalesce("command", "default_command")).drop("default_command")
 
 
 def delta(items: DataFrame, after: Column, until: Column, at: str = "updated_at") -> DataFrame:
