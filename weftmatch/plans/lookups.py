@@ -146,6 +146,12 @@ def video_strict_top1(spark: SparkSession, sf: str) -> DataFrame:
     return video_lookup(probes, items, order(spark, sf), LIMITS, global_mode=True)
 
 
+def video_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest video in the band however far it is, so that every comparable probe has one."""
+    probes, items = _videos(spark, sf)
+    return video_lookup(probes, items, order(spark, sf), score.Limits(video_min=64, video_avg=64))
+
+
 def full_lookup(spark: SparkSession, sf: str) -> DataFrame:
     items = stats.with_media_type(catalogue(spark, sf, *KEYS, *score.WEIGHTS, "video_samples", "frame_hashes", "duration_ms", "media_type"))
     probes = items.filter("batch_no > 0").withColumn("probe_id", F.col("mongo_id")).withColumn("scope", F.array("collection"))
@@ -337,7 +343,7 @@ def stored_payloads(spark: SparkSession, sf: str) -> DataFrame:
 
 _FNS = (
     exact_sha_lookup, exact_cascade_ranked, exact_scoped_only, unresolved_probes, writers_by_key, items_that_were_hit, hamming_search_phash, hamming_search_dhash, mih_candidate_counts, hash_chunk_index,
-    hash_distances, photo_weighted_top1, photo_strict_top1, photo_single_hash_top1, video_multiframe_top1, video_strict_top1, full_lookup, duration_buckets, duration_band_counts, candidate_cap, first_present_alias,
+    hash_distances, photo_weighted_top1, photo_strict_top1, photo_single_hash_top1, video_multiframe_top1, video_strict_top1, video_nearest, full_lookup, duration_buckets, duration_band_counts, candidate_cap, first_present_alias,
     string_lists, media_type_canonical, name_cleanup, normalized_names, text_scalars, content_rule_counts, commands_in_texts, lookup_scopes, title_sources, message_attribution, blocked_filter, formatted_results, build_counts,
     media_type_counts, filtered_count, distinct_union_count, delta_window, delta_scan, upsert_latest, first_and_last_seen, inserted_ids, chat_state, watermark, ttl_greedy_dedupe, latency_ema, latency_ema_total,
     hit_miss_counters, payload_codec, stored_payloads,

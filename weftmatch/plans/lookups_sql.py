@@ -74,9 +74,10 @@ o as (select a.*, coalesce(ord, 1073741824) as ord from a left join collection_d
 select probe_id, arg_min(collection, (-round(score, 9), ord, mongo_id)) as collection, arg_min(mongo_id, (-round(score, 9), ord, mongo_id)) as mongo_id, round(arg_min(score, (-round(score, 9), ord, mongo_id)), 6) as score from o group by probe_id"""
 
 
-def _video(strict: bool) -> str:
+def _video(strict: bool, wide: bool = False) -> str:
     cut = 2 if strict else 0
     bits = "('0x' || {c})::ubigint"
+    limits = "l <= 64 and a <= 64" if wide else f"l <= (case when i.collection = 'items_stray_album' then 14 else 10 end) - {cut} and a <= (case when i.collection = 'items_stray_album' then 16 else 12 end) - {cut}"
     return f"""{_I}, v as (select mongo_id, collection, duration_ms, cast(round_even(duration_ms / 1000.0, 0) as integer) as b, coalesce(video_samples, []) as s,
   list_filter(list_transform(coalesce(frame_hashes, []), lambda x: nullif(trim(x), '')), lambda x: x is not null) as f from i where duration_ms > 0 and (len(coalesce(video_samples, [])) > 0 or len(coalesce(frame_hashes, [])) > 0)),
 r as (select p.mongo_id as probe_id, q.mongo_id, q.collection, p.s as ps, q.s as qs, p.f as pf, q.f as qf from v p join v q on q.b between greatest(0, p.b - 4) and p.b + 4 and p.mongo_id <> q.mongo_id where {_PROBE.format(x="p.mongo_id")}),
@@ -87,7 +88,7 @@ d as (select probe_id, mongo_id, unnest([bit_count(xor({bits.format(c="a.phash")
  from (select *, unnest(range(1, least(len(pf), len(qf)) + 1)) as n from r where (len(ps) = 0 or len(qs) = 0))),
 m as (select probe_id, mongo_id, avg(d) as a, min(d) as l from d where d is not null group by 1, 2),
 s as (select m.*, i.collection, coalesce(ord, 1073741824) as ord, greatest(0.0, 1 - a / 64) as score from m join i using (mongo_id) left join collection_dim c on c.collection = i.collection
- where l <= (case when i.collection = 'items_stray_album' then 14 else 10 end) - {cut} and a <= (case when i.collection = 'items_stray_album' then 16 else 12 end) - {cut} and 1 - a / 64 > 0)
+ where {limits} and 1 - a / 64 > 0)
 select probe_id, arg_min(collection, (-round(score, 9), ord, mongo_id)) as collection, arg_min(mongo_id, (-round(score, 9), ord, mongo_id)) as mongo_id, round(arg_min(score, (-round(score, 9), ord, mongo_id)), 6) as score from s group by probe_id"""
 
 
@@ -140,6 +141,7 @@ SQL = {
     "photo_single_hash_top1": _photo(False, "dhash is null"),
     "video_multiframe_top1": _video(False),
     "video_strict_top1": _video(True),
+    "video_nearest": _video(False, True),
     "duration_buckets": f"{_I} select cast(round_even(duration_ms / 1000.0, 0) as integer) as bucket, count(*) as n_items from i group by 1",
     "duration_band_counts": f"{_I}, v as (select mongo_id, cast(round_even(duration_ms / 1000.0, 0) as integer) as b from i where duration_ms > 0) select p.mongo_id as probe_id, count(*) as n_near from v p join v q on q.b between p.b - 4 and p.b + 4 where {_PROBE.format(x='p.mongo_id')} group by 1",
     "candidate_cap": f"{_I}, v as (select i.mongo_id, cast(round_even(duration_ms / 1000.0, 0) as integer) as b, ord from i left join collection_dim using (collection) where duration_ms > 0), n as (select p.mongo_id as probe_id, q.mongo_id, cast(row_number() over (partition by p.mongo_id order by q.ord nulls last, q.mongo_id) as integer) as rank from v p join v q on q.b between p.b - 1 and p.b + 1 where {_PROBE.format(x='p.mongo_id')}) select * from n where rank <= 5",
