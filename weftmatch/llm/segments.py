@@ -11,10 +11,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import scramble
+
 
 @cache
 def cuts(length: int, k: int) -> tuple[tuple[int, int], ...]:
@@ -39,23 +42,43 @@ def lookups(length: int, k: int, shorter_only: bool) -> tuple[tuple[int, int, in
     return tuple(out)
 
 
+BASE, TAG, GROUP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+
+
+def _keys(texts: list[str], groups: np.ndarray, plan: Callable[[int], Sequence[tuple[int, int, int]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and key of every (tag, start, size) that ``plan`` gives for each text's length. A key is a polynomial hash of
+    the substring mixed with tag and group, taken for all texts of one length at once from running hashes."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    with np.errstate(over="ignore"):
+        for n in np.unique(lengths).tolist():
+            at = np.flatnonzero(lengths == n)
+            codes = np.frombuffer("".join([texts[i] for i in at]).encode("utf-32-le"), np.uint32).reshape(len(at), n).astype(np.uint64)
+            run = np.zeros((len(at), n + 1), np.uint64)
+            power = np.ones(n + 1, np.uint64)
+            for j in range(n):
+                run[:, j + 1] = run[:, j] * BASE + codes[:, j] + np.uint64(1)
+                power[j + 1] = power[j] * BASE
+            base = scramble(groups[at] * GROUP)
+            for tag, p, size in plan(n):
+                keys.append(scramble(run[:, p + size] - run[:, p] * power[size] + np.uint64(tag + 1) * TAG) ^ base)
+                rows.append(at)
+    return np.concatenate(rows), np.concatenate(keys)
+
+
 def _explode(df: DataFrame, keep: str, plan: Callable[[int], Sequence[tuple[int, int, int]]], group: bool) -> DataFrame:
-    """Column ``keep`` (and ``g`` where grouped) with ``key``, a hash of group, tag and substring, for every (tag,
-    start, size) that ``plan`` gives for the text's length. The hash only blocks; the join verifies what it brings."""
+    """Column ``keep`` (and ``g`` where grouped) with ``key`` for every substring that ``plan`` gives for the text's
+    length. The key only blocks; the join verifies what it brings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, seg = [], []
-            for r, t in enumerate(batch.column(0).to_pylist()):
-                for tag, p, n in plan(len(t)):
-                    row.append(r)
-                    seg.append(f"{tag}:{t[p : p + n]}")
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(batch.num_columns)), pa.array(seg, pa.string())], [*batch.schema.names, "seg"])
-
-    columns, schema = ([keep, "g"], f"{keep} string, g bigint, seg string") if group else ([keep], f"{keep} string, seg string")
-    out = df.select(*columns).filter(F.col(keep).isNotNull()).mapInArrow(run, schema)
-    return out.select(*columns, F.xxhash64(*(["g"] if group else []), "seg").alias("key"))
+            groups = batch.column(1).to_numpy().view(np.uint64) if group else np.zeros(batch.num_rows, np.uint64)
+            row, key = _keys(batch.column(0).to_pylist(), groups, plan)
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(batch.num_columns)), pa.array(key.view(np.int64))], [*batch.schema.names, "key"])
+
+    columns, schema = ([keep, "g"], f"{keep} string, g bigint, key bigint") if group else ([keep], f"{keep} string, key bigint")
+    return df.select(*columns).filter(F.col(keep).isNotNull()).mapInArrow(run, schema)
 
 
 def edit_join(left: DataFrame, right: DataFrame, k: int, within: str | None = None, one_way: bool = False) -> DataFrame:
