@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hexbits import EMPTY_SHA256
 from ..operators.skew import skew_join
-from ..session import materialize
+from ..session import discard, materialize
 
 #: Rounds of stripping or compressing stop when a round removes less than this share of the edges; the core solver
 #: takes whatever is left, so the number only moves work.
@@ -73,7 +73,9 @@ def _compress(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     while True:
         nxt = walk.select(F.col("x").alias("px"), F.col("v").alias("pv"), F.col("px").alias("qx"), F.col("pv").alias("qv"))
         moved = walk.join(nxt, ["px", "pv"], "left").select("x", "v", F.coalesce("qx", "px").alias("px"), F.coalesce("qv", "pv").alias("pv"), F.col("qx").isNull().alias("done"))
-        walk = materialize(moved, "walk")
+        moved = materialize(moved, "walk")
+        discard(walk)
+        walk = moved
         open_ = walk.filter("not done").count()
         if open_ == 0 or open_ == last:  # what no longer gets shorter is rings
             break
@@ -102,7 +104,10 @@ def _solve(edges: DataFrame, n: int) -> DataFrame:
         low = large.groupBy("u").agg(F.min("w").alias("m"))
         joined = _hub_join(large, low, "u", n)
         small = joined.select(F.col("w").alias("u"), F.col("m").alias("w")).unionByName(low.select("u", F.col("m").alias("w"))).filter("u <> w").distinct()
-        edges = materialize(small, "small")
+        small = materialize(small, "small")
+        discard(large)
+        discard(edges)
+        edges = small
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "w").cast("decimal(38,0)"))).head()
         if state == previous:
             break
