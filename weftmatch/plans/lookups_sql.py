@@ -106,7 +106,6 @@ def _chunk_index() -> str:
 
 
 _MEDIA = "case when lower(trim(media_type)) in ('image', 'pic', 'picture') then 'photo' when lower(trim(media_type)) in ('animation', 'gif') then 'video' when lower(trim(media_type)) <> '' then lower(trim(media_type)) when len(list_filter(coalesce(frame_hashes, []), lambda x: trim(x) <> '')) > 0 or len(coalesce(video_samples, [])) > 0 then 'video' when trim(phash) <> '' then 'photo' end"
-_LIST = "list_distinct_in_order"
 _SHA = "sha256({x})"
 _TITLE = "trim(regexp_replace(regexp_replace(lower({x}), '[^0-9a-z\\s]+', ' ', 'g'), '\\s+', ' ', 'g'))"
 _ESC = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
