@@ -318,12 +318,12 @@ def ttl_greedy_dedupe(spark: SparkSession, sf: str) -> DataFrame:
 
 def latency_ema(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "lookup_events").select("id", "ts", "chat_id", "ms").distinct()
-    return incremental.ordered_ema(events, ["chat_id"], "ts", "id", "ms").withColumn("ema", F.round("ema", 6))
+    return incremental.ordered_ema(events, ["chat_id"], "ts", "id", "ms").withColumn("ema", F.round(F.col("ema") + 1e-9, 6))
 
 
 def latency_ema_total(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "lookup_events").select("id", "ts", "ms").distinct()
-    return incremental.ordered_ema(events, [], "ts", "id", "ms").withColumn("ema", F.round("ema", 6))
+    return incremental.ordered_ema(events, [], "ts", "id", "ms").withColumn("ema", F.round(F.col("ema") + 1e-9, 6))
 
 
 def hit_miss_counters(spark: SparkSession, sf: str) -> DataFrame:

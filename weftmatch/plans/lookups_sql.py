@@ -119,7 +119,9 @@ def _distinct_list(x: str) -> str:
     return f"list_reduce(list_transform({o}, lambda v: [v]), lambda a, v: case when list_contains(a, v[1]) then a else list_concat(a, v) end, cast([] as varchar[]))"
 
 
-_RULES = "case when regexp_matches(text, 'took\\s+\\d+\\s+ms', 'is') then 'log' when regexp_matches(text, '\\bID\\b\\s*\\d+', 'is') then 'card' when regexp_matches(text, 'please\\s+read', 'is') then 'notice' when regexp_matches(text, 'build\\s+\\d', 'is') then 'release' when contains(lower(text), 'seen:') and contains(lower(text), 'wanted:') then 'trade' when contains(lower(text), '#') and contains(lower(text), 'chat') then 'heading_chat' when contains(lower(text), '/') then 'command' else 'none' end"
+_CONTENT = "case when regexp_matches(text, 'took\\s+\\d+\\s+ms', 'is') then 'log' when regexp_matches(text, '\\bID\\b\\s*\\d+', 'is') then 'card' when regexp_matches(text, 'please\\s+read', 'is') then 'notice' when regexp_matches(text, 'build\\s+\\d', 'is') then 'release' end"
+_CUSTOM = "case when contains(lower({x}), 'seen:') and contains(lower({x}), 'wanted:') then 'trade' when contains(lower({x}), '#') and contains(lower({x}), 'chat') then 'heading_chat' when contains(lower({x}), '/') then 'command' end"
+_RULES = f"coalesce({_CONTENT}, {_CUSTOM.format(x='text')}, 'none')"
 _EMA = "list_reduce(list(ms order by ts, id), lambda a, x: case when a = 0 then x else 0.15 * x + 0.85 * a end)"
 _EVENTS = "(select distinct id, ts, chat_id, ms from lookup_events where ms is not null and ts is not null)"
 
@@ -155,10 +157,10 @@ SQL = {
 c as (select doc_id, source, nullif(trim(collection), '') as collection, {_COMMAND.format(x="text")} as command from documents)
 select doc_id, case when source = 'relay_main' then 'blocked' when collection is not null then 'source' when scope is not null then 'command' else 'all' end as mode, case when source = 'relay_main' then '' when collection is not null then collection else scope end as collections from c left join s using (command)""",
     "title_sources": f"{_I} select mongo_id, arg_min(d.collection, ord) as title_collection from i left join collection_dim d on contains('the ' || {_TITLE.format(x='''replace(replace(i.collection, 'items_', ''), '_', ' ')''')} || ' bot', {_TITLE.format(x='''replace(replace(d.collection, 'items_', ''), '_', ' ')''')}) group by 1",
-    "message_attribution": f"""with m as (select doc_id, text, '@' || regexp_replace(lower(trim(source)), '^@+', '') as source_username, {_TITLE.format(x="concat_ws(' ', kind, collection)")} as title from documents),
+    "message_attribution": f"""with m as (select doc_id, text, '@' || regexp_replace(lower(trim(source)), '^@+', '') as source_username, {_TITLE.format(x="concat_ws(' ', kind, collection)")} as title, concat_ws(chr(10), nullif(trim(concat_ws(' ', kind, collection)), ''), text) as said from documents),
 d as (select *, {_TITLE.format(x="replace(replace(collection, 'items_', ''), '_', ' ')")} as t, '@feed_' || lpad(cast(ord as varchar), 2, '0') as account from collection_dim),
 h as (select doc_id, arg_min(d.collection, ord) as by_title from m join d on contains(m.title, d.t) or contains(d.t, m.title) group by 1)
-select m.doc_id, source_username, coalesce(a.collection, by_title, nullif({_RULES}, 'none')) as source_collection, {_COMMAND.format(x="text")} as text_command from m left join d a on a.account = source_username left join h using (doc_id)""",
+select m.doc_id, source_username, coalesce(a.collection, by_title, {_CONTENT}, {_CUSTOM.format(x='said')}) as source_collection, {_COMMAND.format(x="text")} as text_command from m left join d a on a.account = source_username left join h using (doc_id)""",
     "blocked_filter": "select distinct id, chat_id from lookup_events where chat_id not in (select chat_id from lookup_events where reason = 'blocked_source')",
     "formatted_results": f"{_I} select mongo_id, concat_ws(chr(10), 'NAME: ' || {_clean('name')}, case when not coalesce({_clean('command')} in ('/amber', '/copper'), false) then 'ID: ' || {_clean('card_id')} end, case when not coalesce({_clean('command')} in ('/amber', '/copper'), false) then 'RARITY: ' || {_clean('rarity')} end) as text, concat_ws(' ', {_clean('command')}, {_clean('name')}) as \"full\" from i",
     "build_counts": "select lower(trim(collection)) as collection, count(*) as n_items from item_snapshots group by 1",
@@ -173,8 +175,8 @@ select m.doc_id, source_username, coalesce(a.collection, by_title, nullif({_RULE
     "chat_state": "select chat_id, id, reason from (select distinct chat_id, ts, id, reason from lookup_events) qualify row_number() over (partition by chat_id order by ts desc, id desc, reason desc) = 1 and reason <> 'blocked_source'",
     "watermark": "select cast(cast(received_at as date) as varchar) as day, epoch_us(case when bool_or(error) then timestamptz '2031-03-01 00:00:00+00' else greatest(max(ts), timestamptz '2031-03-01 00:00:00+00') end) as mark_us from lookup_events group by 1",
     "ttl_greedy_dedupe": "with recursive e as materialized (select distinct chat_id, ts from lookup_events where chat_id is not null and ts is not null), w(chat_id, ts) as (select chat_id, min(ts) from e group by 1 union all select w.chat_id, min(e.ts) from w join e on e.chat_id = w.chat_id and e.ts > w.ts + interval 1 hour group by w.chat_id) select chat_id, epoch_us(ts) as ts_us from w",
-    "latency_ema": f"select chat_id, round({_EMA}, 6) as ema from {_EVENTS} group by 1",
-    "latency_ema_total": f"select round({_EMA}, 6) as ema from {_EVENTS}",
+    "latency_ema": f"select chat_id, round({_EMA} + 1e-9, 6) as ema from {_EVENTS} group by 1",
+    "latency_ema_total": f"select round({_EMA} + 1e-9, 6) as ema from {_EVENTS}",
     "hit_miss_counters": "with e as (select id, any_value(chat_id) as chat_id, coalesce(bool_or(hit), false) as hit, coalesce(bool_or(error), false) as error from lookup_events group by 1) select chat_id, count(*) as total, count(*) filter (hit and not error) as hits, count(*) filter (not hit and not error) as misses, count(*) filter (error) as errors from e group by 1",
     "payload_codec": f"{_I} select collection, mongo_id, name, duration_ms from i",
     "stored_payloads": "select distinct mongo_id, json_extract_string(item_json, '$.rarity') as rarity, cast(json_extract_string(item_json, '$.duration_ms') as bigint) as duration_ms from fingerprint_items where item_json is not null",
