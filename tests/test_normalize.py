@@ -15,6 +15,7 @@ def test_first_present_treats_white_space_as_present(spark):
     assert one(spark, f, a=" ", b="x") is None
     assert one(spark, f, a="", b=" x ") == "x"
     assert one(spark, f, a=None, b=None) is None
+    assert one(spark, N.clean("a"), a="\u2009\xa0x y\u3000\n") == "x y"
 
 
 def test_lists(spark):

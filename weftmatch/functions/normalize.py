@@ -15,6 +15,8 @@ SAMPLES = "array<struct<position:double,frame_index:int,phash:string,dhash:strin
 # Spellings of media types, and the small capitals that compatibility folding leaves.
 PHOTO_WORDS, VIDEO_WORDS = ("image", "pic", "picture"), ("animation", "gif")
 SMALL_CAPS, SMALL_CAPS_LATIN = "ᴀʙᴄᴅᴇꜰɢʜɪᴊᴋʟᴍɴᴏᴘʀꜱᴛᴜᴠᴡʏᴢ", "abcdefghijklmnoprstuvwyz"
+#: White space of all kinds, dropped from both ends of a value.
+SPACES = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Characters dropped from the front of a name.
 NOISE = r"^[\s:：|┃•·\-–—_]+"
 
@@ -24,8 +26,8 @@ def col(x: Column | str) -> Column:
 
 
 def clean(x: Column | str) -> Column:
-    """Trimmed text; blank gives null."""
-    return F.nullif(F.trim(col(x)), F.lit(""))
+    """Text without white space of any kind at its ends; blank gives null."""
+    return F.nullif(F.btrim(col(x), F.lit(SPACES)), F.lit(""))
 
 
 def first_present(*aliases: Column | str) -> Column:
