@@ -157,6 +157,20 @@ def test_video_cases(spark, order, theirs, ours, strict, want):
     assert ([r["score"] for r in got] or [None]) == [want]
 
 
+def test_videos_outside_every_band(spark, rows, order):
+    """Probes of unknown duration or with an empty band are compared with all videos of their scope."""
+    frames = dict(frame_hashes=[P], media_type="video")
+    items = spark.createDataFrame([item(collection="a", mongo_id="none", **frames), item(collection="a", mongo_id="zero", duration_ms=0, frame_hashes=[flip(P, 1)]), item(collection="b", mongo_id="far", duration_ms=60000, frame_hashes=[flip(P, 2)]), item(collection="b", mongo_id="blank", duration_ms=90000, media_type="video")], ITEM)
+    ask = lambda i, scope, ms: probe(i, scope, duration_ms=ms, **frames)
+    asked = [ask("null", None, None), ask("zero duration", ["a"], 0), ask("b", ["b"], None), ask("empty band", None, 5000), ask("empty in scope", ["a", "a"], 60000), ask("band", None, 61000), ask("stated video in band", None, 90000), ask("none", ["a"], 5000), ask("nowhere", ["c"], None)]
+    got = rows(video_lookup(spark.createDataFrame(asked, PROBE), items, order), "probe_id", "mongo_id")
+    assert dict(got) == {"null": "none", "zero duration": "none", "b": "far", "empty band": "none", "empty in scope": "none", "band": "far", "none": "zero"} and len(got) == 7
+    found = rows(video_lookup(spark.createDataFrame(asked, PROBE), items, order, global_mode=True), "probe_id", "mongo_id")
+    assert dict(found)["empty in scope"] == "far" and dict(found)["nowhere"] == "none"
+    whole = {r["probe_id"]: (r["mongo_id"], r["reason"]) for r in lookup(spark.createDataFrame(asked, PROBE), items, order).collect()}
+    assert whole["zero duration"] == ("none", "video_multiframe") and whole["nowhere"] == ("none", "video_multiframe_global")
+
+
 def test_buckets_and_bands(spark, rows):
     df = spark.createDataFrame([(2500,), (3500,), (0,), (None,)], "ms bigint")
     assert [r[0] for r in df.select(bands.duration_bucket(F.col("ms"))).collect()] == [2, 4, 0, None]

@@ -132,7 +132,7 @@ def photo_single_hash_top1(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _videos(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    items = catalogue(spark, sf, "video_samples", "frame_hashes", "duration_ms")
+    items = stats.with_media_type(catalogue(spark, sf, "video_samples", "frame_hashes", "duration_ms", "media_type", "phash"))
     return item_probes(items).withColumn("scope", F.lit(None).cast("array<string>")), items
 
 
@@ -147,7 +147,7 @@ def video_strict_top1(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def video_nearest(spark: SparkSession, sf: str) -> DataFrame:
-    """The nearest video in the band however far it is, so that every comparable probe has one."""
+    """The nearest video in the band, else of all, however far it is, so that every comparable probe has one."""
     probes, items = _videos(spark, sf)
     return video_lookup(probes, items, order(spark, sf), score.Limits(video_min=64, video_avg=64))
 
