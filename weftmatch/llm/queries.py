@@ -14,7 +14,7 @@ from .names import characters, name_links
 from .packing import pack, token_sizes
 from .plaintext import not_plain_fields, plain_fields
 from .reading import reading_levels
-from .survivors import COUNTED, representatives
+from .survivors import ALIASES, VOTED, representatives
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -24,7 +24,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_representatives(spark: SparkSession, sf: str) -> DataFrame:
     """The surviving record of every item key with two items or more."""
-    return representatives(items(spark, sf, "item_key", "collection", "fingerprint_version", *COUNTED), table(spark, sf, "collection_dim"))
+    return representatives(items(spark, sf, "item_key", *VOTED, *ALIASES), table(spark, sf, "collection_dim"))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
