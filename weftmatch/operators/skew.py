@@ -87,3 +87,28 @@ def skew_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner", sh
     a = left.filter(hot).join(F.broadcast(right.filter(hot)), on, how)
     b = left.filter(~hot).join(right.filter(~hot), on, how)
     return a.unionByName(b)
+
+
+#: Cells per side into which the pairs of one heavy key are split: 8 x 8 tasks, each row sent to 8 of them.
+GRID = 8
+
+
+def skew_pairs(left: DataFrame, right: DataFrame, on: str, share: float = HEAVY_SHARE, keys: list | None = None, grid: int = GRID) -> DataFrame:
+    """The inner join of ``left`` and ``right`` on ``on`` where both sides may hold many rows of one key.
+
+    Rows of heavy keys (by a sketch of ``right``, the larger side, unless ``keys`` names them) meet in a grid: a row of
+    ``left`` has one of ``grid`` lines by a hash of its content and goes to every column of it, a row of ``right`` the
+    other way round, so each pair meets once and no task holds more than a cell. All other rows are shuffled once.
+    Null keys match nothing. Columns other than the key must not occur on both sides."""
+    clash = (set(left.columns) & set(right.columns)) - {on}
+    if clash:
+        raise ValueError(f"columns on both sides: {sorted(clash)}")
+    keys = heavy_keys(right, on, share) if keys is None else keys
+    if not keys:
+        return left.join(right, on)
+    hot, lines = _is_heavy(on, keys), F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))
+    cell = lambda d: F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in d.columns]), F.lit(grid)).cast("int")
+    a = left.filter(hot).withColumn("__line", cell(left)).withColumn("__column", lines)
+    b = right.filter(hot).withColumn("__column", cell(right)).withColumn("__line", lines)
+    met = a.join(b, [on, "__line", "__column"]).drop("__line", "__column")
+    return met.unionByName(left.filter(~hot).join(right.filter(~hot), on))

@@ -36,10 +36,14 @@ def build_session(app: str = "weftmatch", master: str | None = None, **conf: str
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session, the context's checkpoint
-    folder, or (only where neither is set, as in tests on one machine) a temporary one."""
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session or the context's checkpoint
+    folder. Where neither is set, as in tests, a session that runs in one process gets a temporary folder; on a cluster,
+    whose executors could not reach it, that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
         root = "file://" + tempfile.mkdtemp(prefix="weftmatch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
