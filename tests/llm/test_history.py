@@ -1,8 +1,11 @@
 import itertools
 import random
 
+import numpy as np
+
 from weftmatch.functions.hexbits import EMPTY_SHA256
-from weftmatch.llm.history import History, media_signatures, new_against_history
+from weftmatch.llm.history import MINIMA, History, _order, bands_of, media_signatures, new_against_history
+from weftmatch.llm.words import scramble
 
 SCHEMA = "mongo_id string, batch_no int, phash string, dhash string, video_signature string, p string, sig int"
 
@@ -64,14 +67,68 @@ def test_empty_and_single_batch(spark, rows):
     assert rows(new_against_history(df.filter("batch_no = 2"))) == []
 
 
-def test_store_answers_batch_by_batch(spark, tmp_path):
+def media(spark, hashes, batch=0, first=0):
+    return media_signatures(spark.createDataFrame([(f"m{first + i:06d}", batch, f"{h:016x}", None, None) for i, h in enumerate(hashes)], "mongo_id string, batch_no int, phash string, dhash string, video_signature string"))
+
+
+def test_store_answers_batch_by_batch(spark, rows, tmp_path):
     base = 0x0123456789ABCDEF
-    mk = lambda xs, b: spark.createDataFrame([(f"m{x}", b, f"{base ^ x:016x}", None, None) for x in xs], "mongo_id string, batch_no int, phash string, dhash string, video_signature string")
-    sigs = lambda df: media_signatures(df).selectExpr("p", "d", "batch_no as first_batch")
     store = History(spark, f"file://{tmp_path}/store")
-    store.append(sigs(mk([0], 0)))
-    new = sigs(mk([1, 0b111, 1 << 40], 1))
-    assert {((r["pa"] ^ r["pb"]) & (2**64 - 1)) for r in store.probe(new).collect()} == {1, 1 << 40}
-    store.append(new)
+    store.append(media(spark, [base]))
+    new = media(spark, [base ^ 1, base ^ 0b111, base ^ 1 << 40], 1, 10)
+    pairs = store.probe(new)
+    assert rows(pairs) == [("m000000", "m000010"), ("m000000", "m000012")]
+    store.accept(new, pairs)
+    # A later process needs the store and the new batch only, not the items of the batches before.
     again = History(spark, f"file://{tmp_path}/store")
-    assert len(again.probe(sigs(mk([3], 2))).collect()) == 3
+    assert rows(again.stored().select("mongo_id").distinct()) == [("m000000",), ("m000011",)]
+    assert rows(again.probe(media(spark, [base ^ 3], 2, 20))) == [("m000000", "m000020"), ("m000011", "m000020")]
+
+
+def test_only_buckets_of_the_batch_are_read(spark, tmp_path, capsys):
+    r = random.Random(5)
+    store = History(spark, f"file://{tmp_path}/store")
+    hashes = [r.getrandbits(64) for _ in range(300)]
+    store.append(media(spark, hashes))
+    found = store.candidates(media(spark, [hashes[7]], 1, 1000))
+    found.explain("formatted")
+    plan = capsys.readouterr().out
+    filters = [line for line in plan.splitlines() if "PartitionFilters: [" in line and "bucket" in line]
+    assert filters and all("PartitionFilters: []" not in line for line in filters)
+    assert {r["mongo_id_a"] for r in found.collect()} >= {"m000007"}
+
+
+def test_minwise_keys_lose_no_near_hash():
+    r = random.Random(3)
+    for n in (2, 3, 4):
+        for _ in range(40):
+            p = r.getrandbits(64)
+            q = p ^ sum(1 << k for k in r.sample(range(64), 8))
+            kept = [b.keys(np.array([p], np.uint64), False)[0] for b in bands_of(n)]
+            asked = [b.keys(np.array([q], np.uint64), True)[0] for b in bands_of(n)]
+            assert any(k[0] in a for k, a in zip(kept, asked, strict=True))
+
+
+def test_minima_are_minima():
+    band = bands_of(3)[0]
+    p = np.array([0, 1 << 63, 0xDEADBEEF], np.uint64)
+    one = band.keys(p, False)[:, 0]
+    places = np.concatenate(band.parts)
+    ranks = np.stack([np.argsort(_order(2 * len(places), m + 2)) for m in range(MINIMA)], axis=1).astype(np.uint8)
+    low = np.stack([np.min([ranks[2 * j + (int(x) >> int(b) & 1)] for j, b in enumerate(places)], axis=0) for x in p])
+    words = low.view(np.uint64)
+    with np.errstate(over="ignore"):
+        want = scramble(scramble(words[:, 0]) * np.uint64(0x9E3779B97F4A7C15) + words[:, 1])
+    assert (want & ~np.uint64(15) == one & ~np.uint64(15)).all() and (one & np.uint64(15) == 0).all()
+
+
+def test_fewer_sets_and_other_buckets_find_the_same(spark, rows):
+    data = sample(4, 15)
+    assert rows(new_against_history(spark.createDataFrame(data, SCHEMA), bands=2)) == brute(data)
+    assert rows(new_against_history(spark.createDataFrame(data, SCHEMA), bands=4)) == brute(data)
+
+
+def test_items_without_hash_or_batch(spark, rows):
+    data = [("a", 0, None, None, " SIG"), ("b", 1, "zz", None, "sig"), ("c", None, None, None, "sig"), ("d", 2, "", "", None)]
+    df = spark.createDataFrame(data, "mongo_id string, batch_no int, phash string, dhash string, video_signature string")
+    assert rows(new_against_history(df)) == [("a", "b")]
