@@ -46,6 +46,14 @@ def test_components(spark, shape, reduce):
     assert same_partition(got, {k: v for k, v in roots(e for e in edges if e[0] != e[1]).items()})
 
 
+@pytest.mark.parametrize("share", [0.0, 1.0])
+def test_hubs_make_no_difference(spark, monkeypatch, share):
+    monkeypatch.setattr("weftmatch.llm.groups.HUB_SHARE", share)
+    edges = shapes()["all"]
+    got = {r["v"]: r["root"] for r in components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert same_partition(got, {k: v for k, v in roots(e for e in edges if e[0] != e[1]).items()})
+
+
 def test_no_edges(spark):
     assert components(spark.createDataFrame([], "a string, b string")).count() == 0
     assert components(spark.createDataFrame([("x", "x")], "a string, b string")).count() == 0

@@ -54,7 +54,8 @@ def test_sizes_are_those_of_whole_texts(spark, rows):
 
     texts = ["", None, "hello world", "<|endoftext|> é 🎴", "word " * 30000]
     df = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id bigint, text string, n_tokens int")
-    enc = encoding(TOKENIZER)
+    with open(TOKENIZER, "rb") as f:
+        enc = encoding(f.read())
     assert rows(token_sizes(df)) == [(i, len(enc.encode_ordinary(t or ""))) for i, t in enumerate(texts)]
     assert enc.decode(enc.encode_ordinary(texts[3])) == texts[3]
 
@@ -64,3 +65,18 @@ def test_nothing_to_pack(spark):
     none = spark.createDataFrame([], "doc_id bigint, n_tokens bigint")
     assert pack(none, specs).count() == 0
     assert pack(spark.createDataFrame([(1, 5)], none.schema), specs.limit(0)).count() == 0
+
+
+def test_one_document_id_on_most_rows(spark):
+    df = spark.range(3000).selectExpr("if(id < 2000, 1, id) as doc_id", "10L + id % 7 as n_tokens")
+    specs = spark.createDataFrame([("s", 64)], "container_kind string, capacity_tokens int")
+    out = pack(df, specs, 100).toPandas()
+    assert len(out) == 3000 and out.groupby("container_id").n_tokens.sum().max() <= 64
+    assert out.container_id.str.split("-").str[1].value_counts().max() < 200
+
+
+def test_many_kinds_in_several_passes(spark, monkeypatch):
+    monkeypatch.setattr("weftmatch.llm.packing.KINDS_AT_ONCE", 2)
+    specs = spark.createDataFrame([(f"k{i}", 10 + i) for i in range(5)], "container_kind string, capacity_tokens int")
+    out = pack(spark.createDataFrame([(1, 5), (2, 25)], "doc_id bigint, n_tokens bigint"), specs).toPandas()
+    assert out.groupby("container_kind").n_tokens.sum().to_dict() == {f"k{i}": 30 for i in range(5)}

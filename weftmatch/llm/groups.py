@@ -4,11 +4,14 @@ Items and the keys they share are the vertices of a two-sided graph, so a key of
 and not their pairs. The graph is reduced before it is solved: vertices of degree one are stripped again and again, and
 chains of degree-two vertices are replaced by one edge after list ranking (pointer doubling along both directions). The
 small core that remains is solved by alternating star contraction. Then the removed vertices take their labels back, in
-reverse order. Every round is written to the shared folder; joins on vertices that may be hubs go through ``skew_join``.
+reverse order. Every round is written to the shared folder; joins on vertices that may be hubs go through ``skew_join``,
+whatever the size of the graph, with the hubs taken from the degrees that the round needs anyway.
 """
 
 from __future__ import annotations
 
+from functools import reduce as reduce_frames
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +22,8 @@ from ..session import discard, materialize
 #: Rounds of stripping or compressing stop when a round removes less than this share of the edges; the core solver
 #: takes whatever is left, so the number only moves work.
 LEAST_GAIN = 0.05
-#: A graph of so many edges at most is joined without looking for hubs: all of it is little for one task.
-FEW_EDGES = 1_000_000
+#: A vertex with so large a share of all edge ends is a hub; there are at most 1 / HUB_SHARE of them.
+HUB_SHARE = 0.002
 
 
 def item_keys(items: DataFrame) -> DataFrame:
@@ -32,40 +35,44 @@ def item_keys(items: DataFrame) -> DataFrame:
     return long.filter(F.col("k").isNotNull() & ~F.col("k").isin("u", "s", "s" + EMPTY_SHA256)).distinct()
 
 
-def _degrees(edges: DataFrame) -> DataFrame:
+def _degrees(edges: DataFrame, n: int) -> tuple[DataFrame, list]:
+    """(v, deg) of every vertex of ``n`` edges, written out, and the hubs."""
     ends = edges.select(F.explode(F.array("a", "b")).alias("v"))
-    return ends.groupBy("v").agg(F.count(F.lit(1)).alias("deg"))
+    deg = materialize(_rows_of(ends, "v"), "degrees")
+    return deg, _hubs(deg, 2 * n)
 
 
-def _hub_join(left: DataFrame, right: DataFrame, on: str, n: int, how: str = "inner") -> DataFrame:
-    """``skew_join`` of ``n`` edges; the sketch for hubs is spared where ``n`` is small."""
-    return skew_join(left, right, on, how, keys=[] if n <= FEW_EDGES else None)
+def _rows_of(rows: DataFrame, vertex: str) -> DataFrame:
+    return rows.groupBy(F.col(vertex).alias("v")).agg(F.count(F.lit(1)).alias("deg"))
 
 
-def _with_degrees(edges: DataFrame, n: int) -> DataFrame:
-    deg = _degrees(edges)
-    one = _hub_join(edges, deg.select(F.col("v").alias("a"), F.col("deg").alias("da")), "a", n)
-    return _hub_join(one, deg.select(F.col("v").alias("b"), F.col("deg").alias("db")), "b", n)
+def _hubs(deg: DataFrame, total: int) -> list:
+    """Vertices whose ``deg`` is at least ``HUB_SHARE`` of ``total``, which all of them together don't exceed: so many at
+    most that the driver may know them."""
+    return [r["v"] for r in deg.filter(F.col("deg") >= max(2.0, HUB_SHARE * total)).select("v").collect()]
 
 
-def _strip(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+def _strip(edges: DataFrame, deg: DataFrame, hubs: list) -> tuple[DataFrame, DataFrame]:
     """Edges without those at a degree-one vertex, and (v, parent) of the vertices removed. Of an edge between two
     such vertices the larger goes."""
-    known = materialize(_with_degrees(edges, n), "degrees")
-    leaf = F.when((F.col("da") == 1) & ((F.col("db") > 1) | (F.col("a") > F.col("b"))), F.col("a")).when(F.col("db") == 1, F.col("b"))
+    leaves = deg.filter("deg = 1").select("v")
+    # Only leaves are looked up, so that a vertex of any degree is known by its absence.
+    one = skew_join(edges, leaves.select(F.col("v").alias("a"), F.lit(True).alias("la")), "a", "left", keys=hubs)
+    known = materialize(skew_join(one, leaves.select(F.col("v").alias("b"), F.lit(True).alias("lb")), "b", "left", keys=hubs), "leaves")
+    la, lb = F.coalesce("la", F.lit(False)), F.coalesce("lb", F.lit(False))
+    leaf = F.when(la & (~lb | (F.col("a") > F.col("b"))), F.col("a")).when(lb, F.col("b"))
     gone = known.withColumn("v", leaf).filter("v is not null")
     removed = gone.select("v", F.when(F.col("v") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("parent"))
-    return known.filter("da > 1 and db > 1").select("a", "b"), removed
+    return known.filter(~la & ~lb).select("a", "b"), removed
 
 
-def _compress(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+def _compress(edges: DataFrame, deg: DataFrame, hubs: list) -> tuple[DataFrame, DataFrame]:
     """Edges with every chain of degree-two vertices replaced by one edge between its ends, and (v, parent) of the
     vertices removed, the parent being the chain's end. Closed rings have no end and stay for the core solver."""
-    deg = _degrees(edges)
     arcs = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y")))
     inner = deg.filter("deg = 2").select(F.col("v"))
     # The two neighbours of each inner vertex: walking x -> v goes on to the other one.
-    sides = _hub_join(arcs.withColumnRenamed("x", "v"), inner, "v", n).groupBy("v").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
+    sides = skew_join(arcs.withColumnRenamed("x", "v"), inner, "v", keys=hubs).groupBy("v").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
     step = sides.select(F.col("lo").alias("x"), "v", F.col("hi").alias("nxt")).unionByName(sides.select(F.col("hi").alias("x"), "v", F.col("lo").alias("nxt")))
     # A walker (x, v) stands on inner v having come from x; (px, pv) is the walker it has reached.
     walk = materialize(step.select("x", "v", F.col("v").alias("px"), F.col("nxt").alias("pv"), F.lit(False).alias("done")), "walk")
@@ -83,7 +90,10 @@ def _compress(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     reached = walk.filter("done").select("x", "v", F.col("pv").alias("end"))
     ends = reached.groupBy("v").agg(F.min("end").alias("e1"), F.max("end").alias("e2"), F.min("x").alias("x1"), F.max("x").alias("x2"))
     ends = materialize(ends.filter("e1 is not null"), "ends")
-    kept = edges.join(ends.select(F.col("v").alias("a")), "a", "left_anti").join(ends.select(F.col("v").alias("b")), "b", "left_anti").select("a", "b")
+    # An edge goes if either end was compressed; hubs never are.
+    gone = ends.select("v")
+    kept = skew_join(edges, gone.select(F.col("v").alias("a"), F.lit(True).alias("ga")), "a", "left", keys=hubs)
+    kept = skew_join(kept, gone.select(F.col("v").alias("b"), F.lit(True).alias("gb")), "b", "left", keys=hubs).filter("ga is null and gb is null").select("a", "b")
     short = ends.filter("e1 <> e2").select(F.col("e1").alias("a"), F.col("e2").alias("b"))
     return kept.unionByName(short).distinct(), ends.select("v", F.col("e1").alias("parent"))
 
@@ -98,20 +108,21 @@ def _solve(edges: DataFrame, n: int) -> DataFrame:
         low = edges.groupBy("u").agg(F.min("w").alias("m"))
         both = edges.select("u", "w").unionByName(edges.select(F.col("w").alias("u"), F.col("u").alias("w")))
         least = low.join(edges.select(F.col("w").alias("u")).distinct(), "u", "full").select("u", F.coalesce("m", "u").alias("m"))
-        large = _hub_join(both.filter("w > u"), least, "u", n).select(F.col("w").alias("u"), F.col("m").alias("w")).filter("u <> w").distinct()
+        hubs = _hubs(_rows_of(edges, "w"), n)
+        large = skew_join(both.filter("w > u"), least, "u", keys=hubs).select(F.col("w").alias("u"), F.col("m").alias("w")).filter("u <> w").distinct()
         large = materialize(large, "large")
         # Small star: u and its smaller neighbours are linked to the least of them.
-        low = large.groupBy("u").agg(F.min("w").alias("m"))
-        joined = _hub_join(large, low, "u", n)
+        low = materialize(large.groupBy("u").agg(F.min("w").alias("m"), F.count(F.lit(1)).alias("deg")), "low")
+        joined = skew_join(large, low.drop("deg"), "u", keys=_hubs(low.withColumnRenamed("u", "v"), n))
         small = joined.select(F.col("w").alias("u"), F.col("m").alias("w")).unionByName(low.select("u", F.col("m").alias("w"))).filter("u <> w").distinct()
         small = materialize(small, "small")
-        discard(large)
-        discard(edges)
+        for done in (large, low, edges):
+            discard(done)
         edges = small
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "w").cast("decimal(38,0)"))).head()
         if state == previous:
             break
-        previous = state
+        previous, n = state, state[0]
     return edges.select(F.col("u").alias("v"), F.col("w").alias("label"))
 
 
@@ -122,13 +133,15 @@ def components(edges: DataFrame, reduce: bool = True) -> DataFrame:
     now = edges.filter("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     now = materialize(now, "edges")
     n = now.count()
-    vertices, size = now, n
-    undo: list[DataFrame] = []
+    vertices = now
+    undo: list[tuple[DataFrame, int]] = []
     stripping = True
     while n and reduce:
-        part, removed = _strip(now, n) if stripping else _compress(now, n)
+        deg, hubs = _degrees(now, n)
+        part, removed = _strip(now, deg, hubs) if stripping else _compress(now, deg, hubs)
         part = materialize(part, "edges")
-        undo.append(materialize(removed, "removed"))
+        undo.append((materialize(removed, "removed"), n))
+        discard(deg)
         left = part.count()
         gain, now, n = (n - left) / n, part, left
         if gain < LEAST_GAIN:
@@ -137,18 +150,20 @@ def components(edges: DataFrame, reduce: bool = True) -> DataFrame:
             stripping = False
         elif not stripping:
             stripping = True
-    roots = materialize(_solve(now, n), "labels") if n else None
-    labels = None if roots is None else roots.select("v", F.col("label").alias("root"))
-    for removed in reversed(undo):
+    # Labels are kept as one table per round, each written once, and united at the end.
+    parts = [_solve(now, n).select("v", F.col("label").alias("root"))] if n else []
+    for removed, total in reversed(undo):
         parents = removed.withColumnRenamed("parent", "p")
-        if labels is None:
-            labels = removed.select("v", F.col("parent").alias("root"))
+        if not parts:
+            parts.append(removed.select("v", F.col("parent").alias("root")))
             continue
-        found = _hub_join(parents, labels.select(F.col("v").alias("p"), "root"), "p", size, "left")
-        fresh = found.select("v", F.coalesce("root", "p").alias("root"))
-        labels = materialize(labels.unionByName(fresh), "labels")
-    if labels is None:
+        labels = reduce_frames(DataFrame.unionByName, parts)
+        hubs = _hubs(_rows_of(parents, "p"), total)
+        found = skew_join(parents, labels.select(F.col("v").alias("p"), "root"), "p", "left", keys=hubs)
+        parts.append(materialize(found.select("v", F.coalesce("root", "p").alias("root")), "labels"))
+    if not parts:
         return vertices.select(F.col("a").alias("v"), F.col("a").alias("root")).limit(0)
+    labels = reduce_frames(DataFrame.unionByName, parts)
     tops = labels.select("root").distinct().join(labels.select(F.col("v").alias("root")), "root", "left_anti").select(F.col("root").alias("v"), "root")
     return labels.unionByName(tops)
 

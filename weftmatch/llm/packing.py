@@ -1,6 +1,6 @@
 """Problem 7: texts into containers of fixed capacity, by first-fit decreasing over a tournament tree.
 
-Texts are measured once in tokens of a public tokenizer; only (id, size) is shuffled afterwards. Documents fall into
+Texts are measured once in tokens of a public tokenizer, and only (id, size) is written down and shuffled afterwards. Documents fall into
 randomised groups of bounded expected size, packed independently for every capacity; the space lost to grouping is at
 most part of one container per group. A text above the capacity is cut into full containers and one rest, which is
 packed like any other text; no other text is cut.
@@ -9,7 +9,8 @@ packed like any other text; no other text is cut.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterator, Sequence
 from functools import cache
 
 import numpy as np
@@ -18,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .words import slices
 
 #: The public byte-level vocabulary (50,256 ranks) and the pattern it is used with; both can be given by the caller.
@@ -26,27 +28,30 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 #: Expected documents in a group.
 GROUP = 4096
-#: More kinds of containers than this are a mistake, not a specification.
-MOST_KINDS = 1000
+#: Kinds of containers that one pass over the sizes packs.
+KINDS_AT_ONCE = 100
 
 PIECES = "container_kind string, container_id string, doc_id bigint, piece int, first_token bigint, n_tokens bigint"
 
 
 @cache
-def encoding(path: str, pattern: str = PATTERN):
-    """The tokenizer of a rank file, once per process."""
+def encoding(ranks: bytes, pattern: str = PATTERN):
+    """The tokenizer of a rank file's content, once per process."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    known = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line.strip())}
+    return tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=known, special_tokens={})
 
 
 def token_sizes(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``doc_id``, ``n_tokens``: the number of tokens of every whole text; null and empty texts have none."""
+    """``doc_id``, ``n_tokens``: the number of tokens of every whole text; null and empty texts have none.
+
+    The rank file is read on the driver and sent to the executors, which need no copy of it."""
+    with open(tokenizer, "rb") as f:
+        ranks = documents.sparkSession.sparkContext.broadcast(f.read())
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(tokenizer)
+        enc = encoding(ranks.value)
         for batch in batches:
             for piece in slices(batch, 1):
                 sizes = [len(enc.encode_ordinary(t)) if t else 0 for t in piece.column(1).to_pylist()]
@@ -107,13 +112,19 @@ def pack(sizes: DataFrame, specs: DataFrame, group: int = GROUP, seed: int = 7)
 
     ``sizes`` has ``doc_id``, ``n_tokens``; ``specs`` has ``container_kind``, ``capacity_tokens``. Texts without tokens
     need no container; kinds without a positive capacity take nothing; of a repeated kind the smallest capacity holds.
-    Repeated ``doc_id`` rows are separate texts. Ties in size go to the smaller id. Empty input gives no rows."""
-    chosen = specs.filter("container_kind is not null and capacity_tokens > 0").groupBy("container_kind").agg(F.min("capacity_tokens").alias("c")).limit(MOST_KINDS + 1).collect()
-    if len(chosen) > MOST_KINDS:
-        raise ValueError(f"more than {MOST_KINDS} kinds of containers")
-    kinds = sorted((r["container_kind"], int(r["c"])) for r in chosen)
-    some = sizes.select("doc_id", "n_tokens").filter("n_tokens > 0")
+    Repeated ``doc_id`` rows are separate texts and spread over the groups too. Ties in size go to the smaller id. Empty input gives no rows."""
+    chosen = specs.filter("container_kind is not null and capacity_tokens > 0").groupBy("container_kind").agg(F.min("capacity_tokens").alias("c")).orderBy("container_kind")
+    some = materialize(sizes.select("doc_id", "n_tokens").filter("n_tokens > 0"), "sizes")
     groups = max(1, -(-some.count() // group))
+    keyed = some.withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.monotonically_increasing_id()), F.lit(groups)))
+    out = some.sparkSession.createDataFrame([], PIECES)
+    for kinds in itertools.batched(((r["container_kind"], int(r["c"])) for r in chosen.toLocalIterator()), KINDS_AT_ONCE):
+        out = out.unionByName(keyed.groupBy("g").applyInPandas(_packer(kinds), PIECES))
+    return out
+
+
+def _packer(kinds: Sequence[tuple[str, int]]):
+    """Packs one group for all of ``kinds``, each a name and a capacity."""
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         docs, n = pdf["doc_id"].to_numpy(np.int64), pdf["n_tokens"].to_numpy(np.int64)
@@ -123,8 +134,6 @@ def pack(sizes: DataFrame, specs: DataFrame, group: int = GROUP, seed: int = 7)
             part.insert(0, "container_kind", kind)
             part["container_id"] = kind + "-" + str(key[0]) + "-" + part["bin"].astype(str)
             out.append(part)
-        columns = ["container_kind", "container_id", "doc_id", "piece", "first_token", "n_tokens"]
-        return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
+        return pd.concat(out)[["container_kind", "container_id", "doc_id", "piece", "first_token", "n_tokens"]]
 
-    keyed = some.withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(groups)))
-    return keyed.groupBy("g").applyInPandas(one, PIECES)
+    return one
