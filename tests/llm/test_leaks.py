@@ -1,11 +1,14 @@
 import random
 import re
+import time
 
+import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weftmatch.llm.leaks import RUN, _tile, leaks
+from weftmatch.llm import leaks as module
+from weftmatch.llm.leaks import RUN, ItemIndex, _leaks, _tile, leaks, tile_repetitive
 from weftmatch.llm.plaintext import plain_array
 from weftmatch.llm.words import slices, windows, word_text, words_of
 
@@ -75,3 +78,46 @@ def test_a_very_long_text(spark):
     long = "filler words go on " * 60000 + passage + " and on" * 60000
     out = leaks(spark.createDataFrame([(1, long, 0)], DOC), spark.createDataFrame([(5, passage, 0)], ITEM)).collect()
     assert [(r["doc_id"], r["item_id"], r["longest_run"]) for r in out] == [(1, 5, 20)]
+
+
+def found(docs, items):
+    return sorted(_leaks(words_of(pa.array(docs)), ItemIndex(list(range(len(items))), items)))
+
+
+def test_repetitive_texts_take_no_pairs_of_places():
+    began = time.perf_counter()
+    assert found(["again " * 16000], ["again " * 16000]) == [(0, 0, 16000, 1, 16000, 16000)]
+    assert found(["left right " * 8000 + "end"], ["right left " * 5000]) == [(0, 0, 10000, 1, 10000, 10000)]
+    assert time.perf_counter() - began < 3
+    assert found(["a b " * 40 + "x y z u v " * 40], ["x y z u v " * 3 + "a b " * 6]) == [(0, 0, 15, 2, 27, 27)]
+
+
+def test_both_ways_of_tiling_report_the_same(monkeypatch):
+    r = random.Random(8)
+    items = [" ".join(r.choice("abcdefgh") for _ in range(r.choice([7, 13, 20, 40]))) for _ in range(30)]
+    docs = [" ".join(r.choice("abcdefgh") for _ in range(60)) + " " + r.choice(items) for _ in range(60)]
+    usual = found(docs, items)
+    monkeypatch.setattr(module, "REPETITIVE", 0)
+    other = found(docs, items)
+    assert {(x[:3], x[5]) for x in usual if x[2] >= min(RUN, x[5])} == {(x[:3], x[5]) for x in other if x[2] >= min(RUN, x[5])} and len(usual) >= 60
+
+
+def test_tiles_are_common_and_do_not_overlap():
+    r = random.Random(9)
+    for _ in range(30):
+        a, b = (np.array([r.randrange(3) for _ in range(80)], np.uint64) for _ in range(2))
+        tiles = tile_repetitive(a, b, lambda *_: True)
+        for side, k in ((a, 0), (b, 1)):
+            used = [x for t in tiles for x in range(t[k], t[k] + t[2])]
+            assert len(used) == len(set(used)) and all(x < len(side) for x in used)
+        assert all((a[i : i + n] == b[j : j + n]).all() and n >= 5 for i, j, n in tiles)
+        assert [t[2] for t in tiles] == sorted((t[2] for t in tiles), reverse=True)
+
+
+def test_blocks_make_no_difference(spark, monkeypatch, rows):
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(20)), 0) for i in range(6)]
+    docs = [(i, f"start {items[i % 6][1]} end", 0) for i in range(12)]
+    d, e = spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM)
+    one = rows(leaks(d, e))
+    monkeypatch.setattr(module, "BLOCK_WORDS", 30)
+    assert rows(leaks(d, e)) == one and len(one) == 12

@@ -4,7 +4,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weftmatch.llm.plaintext import not_plain_fields, plain_array, plain_fields
+from weftmatch.llm.plaintext import from_flat, not_plain_fields, plain_array, plain_fields, plain_flat, to_flat
 
 
 def plain(*texts):
@@ -23,6 +23,24 @@ def test_lookalikes_only_inside_latin_words():
     assert plain("Skeiуorzu Ноһarlin", "Рищугри Тутуфи", "Φιγελο", "Κouta", "Aж", "ｓо") == ["Skeiyorzu Hoharlin", "Рищугри Тутуфи", "Φιγελο", "Kouta", "Aж", "so"]
 
 
+def test_every_foreign_letter_in_a_latin_word_is_folded():
+    assert plain("Sakuгa", "Naruцo", "Reiя", "Ꭺsuka", "Ⲁsuka", "ꓮsuka") == ["Sakuga", "Naruto", "Reiy", "Asuka", "Asuka", "Asuka"]
+    kept = ["Москва", "Tシャツ", "Aさん", "ʼn", "서울 city", "東京Tower"]
+    assert plain(*kept) == kept
+
+
+def test_every_character_reaches_its_form_at_once():
+    every = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    for texts in (every, ["x" + c + "y" for c in every]):
+        once = plain_array(pa.array(texts))
+        assert once.equals(plain_array(once))
+
+
+def test_line_breaks_stay_in_running_text():
+    texts = ["a\nb", "a\n\u200bb\tｃ", "с\nd"]
+    assert from_flat(plain_flat(to_flat(pa.array(texts)), lines=True)).to_pylist() == ["a\nb", "a\nb\tc", "с\nd"]
+
+
 def test_plain_text_is_left_alone():
     kept = ["", "é ß ñ", "❄️ 👩‍🚀 🎃", "a  b ", "ロスザビ・スモス", "Straße™", "word " * 20000]
     assert plain(*kept) == kept

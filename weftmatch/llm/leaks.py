@@ -5,26 +5,34 @@ Seeds on one diagonal join to maximal common runs; the tiling marks the longest
 and again, until none of ``SEED`` words is left. A document is reported for an item if it has a run of ``RUN`` words (or
 the whole item where that is shorter), or if its tiles cover ``COVER`` of the item, which catches reordered passages.
 
+Seeds are expanded to pairs of places only where that costs in proportion to the text. In repetitive texts, where one
+window stands at many places of both sides, the tiles are found by Karp-Rabin hashes of growing windows instead.
+
 The held-out items are few and come in blocks of bounded size to every task; the corpus is read once per block and is
-never shuffled. No document, seed or candidate is left out: the coverage bound that spares the tiling is an upper bound.
+never shuffled; a block leaves the executors when its pass is done. No document, seed or candidate is left out: the
+coverage bound that spares the tiling is an upper bound.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, slices, windows, word_text, words_of
+from ..session import materialize
+from .words import BASE, Words, slices, windows, word_text, words_of
 
 SEED, RUN, COVER = 5, 13, 0.8
-#: Words of held-out text in one block, about 50 MB of index.
+#: Words of held-out text in one block, about 50 MB of index. A longer item is a block of its own.
 BLOCK_WORDS = 1_000_000
+#: A document is repetitive if its seeds are so many times more than its words and its distinct windows' seeds.
+REPETITIVE = 16
 
+MASK = (1 << 64) - 1
 SCHEMA = "doc_id bigint, item_id bigint, longest_run int, n_tiles int, covered_words int, item_words int"
 
 
@@ -35,6 +43,7 @@ class ItemIndex:
         w = words_of(pa.array(texts, pa.string()))
         self.ids = np.array(ids, np.int64)
         self.lengths = np.diff(w.offsets)
+        self.hashes, self.offsets = w.hashes, w.offsets
         self.text = [tuple(word_text(w, k) for k in range(a, b)) for a, b in zip(w.offsets[:-1], w.offsets[1:], strict=True)]
         #: By window length: sorted hashes, and item and place of each. Items below ``SEED`` words have their own.
         self.of: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -60,8 +69,9 @@ class ItemIndex:
         out[hashes & np.uint64((1 << bits) - 1)] = True
         return out
 
-    def seeds(self, w: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Document, place in the batch's words, item and place in the item of every shared window of ``n`` words."""
+    def seeds(self, w: Words, n: int) -> tuple[tuple[np.ndarray, ...], list[tuple[int, np.ndarray]]]:
+        """Document, place in the batch's words, item and place in the item of every shared window of ``n`` words; and
+        apart from them the repetitive documents, each with the items that it shares windows with."""
         hashes, item, place = self.of[n]
         h = windows(w.hashes, n)
         at = np.flatnonzero(self.sieve[n][h & np.uint64(len(self.sieve[n]) - 1)])
@@ -71,8 +81,71 @@ class ItemIndex:
         doc = np.searchsorted(w.offsets, at, "right") - 1
         inside = at + n <= w.offsets[doc + 1]
         at, lo, many, doc = at[inside], lo[inside], many[inside], doc[inside]
-        take = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        return np.repeat(doc, many), np.repeat(at, many), item[take], place[take]
+        docs = len(w.offsets) - 1
+        once = np.unique(doc * (len(hashes) + 1) + lo, return_index=True)[1]
+        plain = REPETITIVE * (np.bincount(doc[once], many[once], docs) + np.diff(w.offsets))
+        odd = np.flatnonzero(np.bincount(doc, many, docs) > plain) if n == SEED else []
+        spread = lambda a, b: np.repeat(a, b) + np.arange(b.sum()) - np.repeat(np.cumsum(b) - b, b)
+        apart = [(int(d), np.unique(item[spread(lo[once][doc[once] == d], many[once][doc[once] == d])])) for d in odd]
+        if len(odd):
+            usual = ~np.isin(doc, odd)
+            at, lo, many, doc = at[usual], lo[usual], many[usual], doc[usual]
+        take = spread(lo, many)
+        return (np.repeat(doc, many), np.repeat(at, many), item[take], place[take]), apart
+
+
+class _Rolling:
+    """Hashes of all windows of one text, of any length, and which of its words are marked."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.sums = np.zeros(len(hashes) + 1, np.uint64)
+        up = [1]
+        total = 0
+        for k, h in enumerate(hashes.tolist()):
+            total = (total * int(BASE) + h) & MASK
+            self.sums[k + 1] = total
+            up.append(up[-1] * int(BASE) & MASK)
+        self.up = np.array(up, np.uint64)
+        self.marked = np.zeros(len(hashes), bool)
+
+    def free(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the windows of ``n`` words without a marked one."""
+        taken = np.concatenate([[0], np.cumsum(self.marked)])
+        at = np.flatnonzero(taken[n:] == taken[: len(taken) - n])
+        with np.errstate(over="ignore"):
+            return at, self.sums[at + n] - self.sums[at] * self.up[n]
+
+
+def tile_repetitive(doc: np.ndarray, item: np.ndarray, same: Callable[[int, int, int], bool]) -> list[tuple[int, int, int]]:
+    """Greedy tiles (place in document, place in item, words) of two texts given as word hashes, the longest first, without
+    listing pairs of places. The longest length in common is found by halving, all its tiles are marked in order of
+    place, and shorter ones follow. ``same`` compares the words of a tile themselves."""
+    a, b = _Rolling(doc), _Rolling(item)
+    tiles: list[tuple[int, int, int]] = []
+    most = min(len(doc), len(item))
+    while most >= SEED:
+        low, high = SEED - 1, most
+        while low < high:
+            n = (low + high + 1) // 2
+            low, high = (n, high) if len(np.intersect1d(a.free(n)[1], b.free(n)[1])) else (low, n - 1)
+        if low < SEED:
+            break
+        (pa_, ha), (pb, hb) = a.free(low), b.free(low)
+        there: dict[int, list[int]] = {}
+        for place, h in zip(pb[::-1].tolist(), hb[::-1].tolist(), strict=True):
+            there.setdefault(h, []).append(place)
+        for i, h in zip(pa_.tolist(), ha.tolist(), strict=True):
+            places = there.get(h, [])
+            if a.marked[i] or a.marked[i + low - 1]:
+                continue
+            while places and (b.marked[places[-1]] or b.marked[places[-1] + low - 1]):
+                places.pop()
+            if places and same(i, places[-1], low):
+                j = places.pop()
+                a.marked[i : i + low] = b.marked[j : j + low] = True
+                tiles.append((i, j, low))
+        most = low - 1
+    return tiles
 
 
 def _tile(runs: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
@@ -105,7 +178,13 @@ def _leaks(w: Words, index: ItemIndex) -> list[tuple[int, int, int, int, int, in
     """(document, item, longest run, tiles, covered words, item words) of the reported pairs of one batch."""
     out = []
     for n in index.of:
-        doc, at, item, place = index.seeds(w, n)
+        (doc, at, item, place), apart = index.seeds(w, n)
+        for d, items in apart:
+            base, stop = int(w.offsets[d]), int(w.offsets[d + 1])
+            for t in items.tolist():
+                own = index.hashes[index.offsets[t] : index.offsets[t + 1]]
+                same = lambda i, j, size, base=base, t=t: all(word_text(w, base + i + x) == index.text[t][j + x] for x in range(size))
+                _report(out, d, t, tile_repetitive(w.hashes[base:stop], own, same), len(own))
         if not len(doc):
             continue
         pair = doc * len(index.ids) + item
@@ -133,14 +212,17 @@ def _leaks(w: Words, index: ItemIndex) -> list[tuple[int, int, int, int, int, in
             runs = [(int(at[begin[r]] - base), int(place[begin[r]]), int(size[r])) for r in range(a, b)]
             # The words themselves decide, not their hashes.
             runs = [r for r in runs if all(word_text(w, base + r[0] + x) == index.text[t][r[1] + x] for x in range(r[2]))]
-            tiles = _tile(runs, min(SEED, n))
-            covered = sum(x[2] for x in tiles)
-            best = max((x[2] for x in tiles), default=0)
-            if best >= min(RUN, words[k]) or covered >= COVER * words[k]:
-                out.append((int(doc[head[k]]), t, best, len(tiles), covered, int(words[k])))
+            _report(out, int(doc[head[k]]), t, _tile(runs, min(SEED, n)), int(words[k]))
     return out
 
 
+def _report(out: list, doc: int, item: int, tiles: list[tuple[int, int, int]], words: int) -> None:
+    """Add the pair to ``out`` if its tiles are enough."""
+    covered, best = sum(x[2] for x in tiles), max((x[2] for x in tiles), default=0)
+    if best >= min(RUN, words) or covered >= COVER * words:
+        out.append((doc, item, best, len(tiles), covered, words))
+
+
 def _blocks(items: DataFrame) -> Iterator[ItemIndex]:
     ids: list[int] = []
     texts: list[str] = []
@@ -177,5 +259,6 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(doc)), pa.array(index.ids[item]), *(pa.array(x.astype(np.int32)) for x in rest)], ["doc_id", "item_id", "longest_run", "n_tiles", "covered_words", "item_words"])
 
         rows = documents.select("doc_id", "text").filter("doc_id is not null and text is not null").mapInArrow(scan, SCHEMA)
-        out = out.unionByName(rows)
+        out = out.unionByName(materialize(rows, "leaks"))
+        shared.destroy()
     return out.withColumn("coverage", F.round(F.col("covered_words") / F.col("item_words"), 6))

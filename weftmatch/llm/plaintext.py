@@ -8,8 +8,9 @@ Plain form of a text
   * marks stored apart are composed with their letter where Unicode has the composed letter;
   * invisible characters and controls vanish (joiners and selectors inside emoji stay);
   * every space becomes U+0020 (their number is kept);
-  * look-alike letters of another alphabet inside a word of Latin letters become Latin. Words wholly in another
-    alphabet, composed accents and emoji are left alone.
+  * letters of another alphabet inside a word of Latin letters become Latin: the letter they look like or, where none is
+    known, the one their Unicode name begins with. Words wholly in another alphabet, composed accents and emoji are left
+    alone, and so are ideographs and syllables of East Asian scripts, which stand beside Latin words as they are.
 
 Null stays null and the empty text stays empty; the plain form is a fixed point of the operator.
 """
@@ -34,6 +35,12 @@ GREEK_LOOKS = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαεικνορτυχγηω"
 GREEK_LATIN = "ABEZHIKMNOPTYXaeikvoptuxynw"
 ARMENIAN_LOOKS = "ՕՍօսոհցզյ"
 ARMENIAN_LATIN = "OUounhgqj"
+CHEROKEE_LOOKS = "ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᏀᏃᏔᏙᏚᏞᏟᏢᏦᏴ"
+CHEROKEE_LATIN = "DRTiAJEWMHGZWVSLCPKB"
+# Scripts whose letters look like the letter that their names begin with, and scripts of ideographs and
+# syllables, which are no alphabets beside Latin.
+NAMED_LOOKS = ("COPTIC", "LISU")
+NO_ALPHABET = ("LATIN", "CJK", "HIRAGANA", "KATAKANA", "KATAKANA-HIRAGANA", "HANGUL", "BOPOMOFO", "YI", "MODIFIER", "HALFWIDTH", "FULLWIDTH")
 # Signs that Unicode decomposes though they are emoji or signs of their own.
 KEPT = "™ℹ‼⁉㊗㊙…"
 
@@ -58,6 +65,7 @@ class Tables(NamedTuple):
     ccc: np.ndarray
     gone: np.ndarray
     looks: np.ndarray
+    seen: np.ndarray
     touch: np.ndarray
     pairs: np.ndarray
     composed: np.ndarray
@@ -71,12 +79,22 @@ def _ordinary(code: int, name: str) -> str | None:
     return None
 
 
+def _foreign(name: str, category: str) -> str | None:
+    """The Latin letter for a letter of another alphabet: the first of its own name, in its case; None for what is none."""
+    script, _, rest = name.partition(" ")
+    if category not in ("Lu", "Ll", "Lt", "Lo") or script in NO_ALPHABET or "LETTER " not in rest:
+        return None
+    first = rest.partition("LETTER ")[2][:1]
+    return None if not "A" <= first <= "Z" else first.lower() if category == "Ll" else first
+
+
 @cache
 def tables() -> Tables:
     """The lookup tables, derived from the character database once per process."""
     length, start = np.ones(TOP, np.uint8), np.arange(TOP, dtype=np.int64)
     kind, ccc = np.zeros(TOP, np.uint8), np.zeros(TOP, np.uint8)
     gone, touch, looks = np.zeros(TOP, bool), np.zeros(TOP, bool), np.zeros(TOP, np.uint32)
+    seen = np.zeros(TOP, bool)
     pool: list[int] = []
     pairs: dict[int, int] = {}
     for block in NAMED:
@@ -90,7 +108,9 @@ def tables() -> Tables:
             if cat[0] == "M":
                 kind[code] = MARK
             elif cat[0] == "L":
-                kind[code] = LATIN if name.startswith("LATIN ") else OTHER if name.startswith(("CYRILLIC ", "GREEK ", "ARMENIAN ", "COPTIC ", "CHEROKEE ")) else 0
+                latin = _foreign(name, cat)
+                kind[code] = LATIN if name.startswith("LATIN ") else OTHER if latin else 0
+                looks[code], seen[code] = ord(latin or "\0"), bool(latin) and name.startswith(NAMED_LOOKS)
             elif cat in ("So", "Sk"):
                 kind[code] = EMOJI
             out = _ordinary(code, name)
@@ -115,14 +135,14 @@ def tables() -> Tables:
         gone[code], length[code], start[code] = False, 1, 32
     for code in (*range(0x41, 0x5B), *range(0x61, 0x7B)):
         kind[code] = LATIN
-    for other, latin in ((CYRILLIC_LOOKS, CYRILLIC_LATIN), (GREEK_LOOKS, GREEK_LATIN), (ARMENIAN_LOOKS, ARMENIAN_LATIN)):
-        looks[[ord(x) for x in other]] = [ord(x) for x in latin]
+    for other, latin in ((CYRILLIC_LOOKS, CYRILLIC_LATIN), (GREEK_LOOKS, GREEK_LATIN), (ARMENIAN_LOOKS, ARMENIAN_LATIN), (CHEROKEE_LOOKS, CHEROKEE_LATIN)):
+        looks[[ord(x) for x in other]], seen[[ord(x) for x in other]] = [ord(x) for x in latin], True
     jamo = np.zeros(TOP, bool)
     jamo[0x1100:0x1200] = True
     touch |= gone | (kind == MARK) | (kind == OTHER) | jamo
     touch[[9, 10, 11, 12, 13, 0x85]] = True
     keys = np.array(sorted(pairs), np.uint64)
-    return Tables(length, start, np.concatenate([np.arange(TOP, dtype=np.uint32), np.array(pool, np.uint32)]), kind, ccc, gone, looks, touch, keys, np.array([pairs[int(k)] for k in keys], np.uint32))
+    return Tables(length, start, np.concatenate([np.arange(TOP, dtype=np.uint32), np.array(pool, np.uint32)]), kind, ccc, gone, looks, seen, touch, keys, np.array([pairs[int(k)] for k in keys], np.uint32))
 
 
 def to_flat(texts: pa.Array) -> Flat:
@@ -201,8 +221,8 @@ def _compose(t: Tables, codes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray,
 
 
 def _latinise(t: Tables, codes: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Look-alike letters to Latin in words that are Latin: some Latin letter, and either every other letter looks
-    Latin or most letters are Latin."""
+    """Foreign letters to Latin in words that are Latin: some Latin letter, and either every other letter looks Latin or
+    most letters are Latin."""
     kind = t.kind[codes]
     foreign = kind == OTHER
     if not foreign.any():
@@ -213,15 +233,15 @@ def _latinise(t: Tables, codes: np.ndarray, row: np.ndarray) -> np.ndarray:
     word = np.cumsum(first) - 1
     n = word[-1] + 1
     latin = np.bincount(word[kind == LATIN], minlength=n)
-    strange = np.bincount(word[foreign & (t.looks[codes] == 0)], minlength=n)
+    strange = np.bincount(word[foreign & ~t.seen[codes]], minlength=n)
     other = np.bincount(word[foreign], minlength=n)
-    fold = foreign & (t.looks[codes] > 0) & ((latin > 0) & ((strange == 0) | (latin > other)))[word]
+    fold = foreign & ((latin > 0) & ((strange == 0) | (latin > other)))[word]
     return np.where(fold, t.looks[codes], codes)
 
 
 def plain_flat(flat: Flat, lines: bool = False) -> Flat:
     """The plain form of every text of a batch. Only texts that hold a character in question are worked on. With
-    ``lines``, for running text, a text whose only such characters are tabs and line breaks is left as it is."""
+    ``lines``, for running text, tabs and line breaks of all texts stay as they are."""
     t = tables()
     codes, offsets = flat
     n = len(offsets) - 1
@@ -234,11 +254,13 @@ def plain_flat(flat: Flat, lines: bool = False) -> Flat:
     dirty = np.bincount(rows[touched], minlength=n) > 0
     chosen = dirty[rows]
     c, r = codes[chosen], rows[chosen]
-    for _ in range(3):  # a folded letter can make a further composition possible; two rounds settle it
+    while True:  # a folded letter can make a further composition possible; the form is reached when nothing changes
         before = c, r
         size = t.length[c].astype(np.int64)
         begin = np.cumsum(size) - size
+        breaks = np.repeat(np.where((c >= 9) & (c <= 13), c, 0), size) if lines else 0
         c = t.pool[np.repeat(t.start[c] - begin, size) + np.arange(size.sum())]
+        c = np.where(breaks > 0, breaks, c).astype(np.uint32) if lines else c
         r = np.repeat(r, size)
         vanish = t.gone[c]
         if vanish.any():
