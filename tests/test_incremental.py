@@ -122,7 +122,8 @@ def test_image_hashes_survive_scaling(spark, tmp_path):
     png(tmp_path / "c.png", 64, 64, lambda x, y: ((y * 4) % 256, (255 - x * 4) % 256, 9))
     (tmp_path / "bad.png").write_bytes(b"no image")
     got = {r["path"].rsplit("/", 1)[1]: r for r in media.hash_images(spark, str(tmp_path)).collect()}
-    assert set(got) == {"a.png", "b.png", "c.png"}
+    assert set(got) == {"a.png", "b.png", "c.png", "bad.png"} and got["bad.png"]["phash"] is None
+    assert {len(r["sha256"]) for r in got.values()} == {64}
     far = lambda x, y, h: (int(got[x][h], 16) ^ int(got[y][h], 16)).bit_count()
     assert far("a.png", "b.png", "phash") <= 10 < far("a.png", "c.png", "phash")
     assert len(got["a.png"]["phash_large"]) == 64 and got["a.png"]["pixel_sha256"] != got["b.png"]["pixel_sha256"]
@@ -132,6 +133,20 @@ def test_video_signature_and_frames(spark):
     df = spark.createDataFrame([([(0.05, 1, "p", "d"), (0.5, 2, "q", "e")],), ([],)], "s array<struct<position double, frame_index int, phash string, dhash string>>")
     import hashlib
 
-    assert [r[0] for r in df.select(media.video_signature(F.col("s"))).collect()] == [hashlib.sha256(b"0.0500:p:d|0.5000:q:e").hexdigest(), None]
+    assert [r[0] for r in df.select(media.video_signature(F.col("s"))).collect()] == [hashlib.sha256(b"0.05:p:d|0.5:q:e").hexdigest(), None]
     idx = spark.range(1).select(*[media.frame_index(F.lit(10), F.lit(p)) for p in (0.0, 0.55, 1.0)]).head()
     assert tuple(idx) == (0, 5, 9)
+
+
+def test_a_cache_that_forgets(spark, rows):
+    at = lambda s: dt.datetime(2031, 1, 1) + dt.timedelta(seconds=s)
+    writes = spark.createDataFrame([("k", at(0), "a"), ("k", at(15), "b"), ("j", at(3), "c"), (None, at(0), "n")], "k string, ts timestamp, value string")
+    reads = spark.createDataFrame([("k", at(t)) for t in (0, 9, 10, 15, 24, 25, 40)] + [("j", at(2)), ("j", at(12)), ("j", at(13)), (None, at(1)), ("k", None)], "k string, ts timestamp")
+    got = {(r["k"], r["ts"] and int((r["ts"] - at(0)).total_seconds())): r["value"] for r in inc.ttl_lookup(reads, writes, ["k"], "ts", 10).collect()}
+    assert got == {("k", 0): "a", ("k", 9): "a", ("k", 10): None, ("k", 15): "b", ("k", 24): "b", ("k", 25): None, ("k", 40): None, ("j", 2): None, ("j", 12): "c", ("j", 13): None, (None, 1): None, ("k", None): None}
+
+
+def test_marks_are_read_tolerantly(spark):
+    df = spark.createDataFrame([(t,) for t in ("2031-03-01T00:00:00", "2031-03-01T02:00:00+02:00", " 2031-03-01 00:00:00Z ", "bad", "", None)], "t string")
+    got = [r[0] for r in df.select(F.unix_micros(inc.parsed_mark(F.col("t")))).collect()]
+    assert got[0] == got[1] == got[2] is not None and got[3:] == [None, None, None]

@@ -80,6 +80,38 @@ def test_hamming_search_finds_every_pair(spark, t):
     assert got == want
 
 
+def test_a_persisted_index_is_read_and_kept_up(spark, tmp_path, rows, capsys):
+    data = [("a", f"m{i}", f"{int(P, 16) ^ (1 << i):016x}", None) for i in range(20)]
+    items = spark.createDataFrame(data, "collection string, mongo_id string, phash string, dhash string")
+    probes = spark.createDataFrame([("p", P)], "probe_id string, phash string")
+    mih.write_index(items, str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    found = mih.hamming_search(probes, None, "phash", 8, index=index)
+    assert rows(found) == rows(mih.hamming_search(probes, items, "phash", 8))
+    found.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "PartitionFilters: [isnotnull(field" in plan and "chunk_count" in plan.split("PartitionFilters:")[1].split("\n")[0]
+    changed = spark.createDataFrame([("a", "m0", "f" * 16, None), ("a", "new", P, None)], items.schema)
+    after = rows(mih.hamming_search(probes, None, "phash", 8, index=mih.updated_index(index, changed)), "mongo_id")
+    assert ("m0",) not in after and ("new",) in after and len(after) == 20
+    with pytest.raises(ValueError):
+        mih.hamming_search(probes, None, "phash", 20, index=index)
+
+
+def test_a_probe_may_leave_out_one_item(spark, rows, order):
+    items = spark.createDataFrame([item(collection="a", mongo_id=m, phash=P, duration_ms=5000, frame_hashes=[P]) for m in ("1", "2")], ITEM)
+    asked = spark.createDataFrame([probe("1", None, phash=P, duration_ms=5000, frame_hashes=[P])], PROBE)
+    for search in (photo_lookup, video_lookup):
+        assert rows(search(asked, items, order), "mongo_id") == [("1",)]
+        assert rows(search(asked.withColumn("not_id", F.lit("1")), items, order), "mongo_id") == [("2",)]
+
+
+def test_kinds_that_belong_to_a_media_type(spark, order):
+    items = spark.createDataFrame([item(collection="a", mongo_id="1", pixel_sha256="x", video_signature="s")], ITEM)
+    asked = spark.createDataFrame([probe(f"{m} {k}", None, media_type=m, **{k: v}) for m in ("photo", "video") for k, v in (("pixel_sha256", "X"), ("video_signature", "S"))], PROBE)
+    assert {r["probe_id"] for r in exact.exact_lookup(asked, items, order).collect()} == {"photo pixel_sha256", "video video_signature"}
+
+
 def test_exact_tiers(spark, rows, order):
     items = spark.createDataFrame(
         [
@@ -164,7 +196,7 @@ def test_videos_outside_every_band(spark, rows, order):
     ask = lambda i, scope, ms: probe(i, scope, duration_ms=ms, **frames)
     asked = [ask("null", None, None), ask("zero duration", ["a"], 0), ask("b", ["b"], None), ask("empty band", None, 5000), ask("empty in scope", ["a", "a"], 60000), ask("band", None, 61000), ask("stated video in band", None, 90000), ask("none", ["a"], 5000), ask("nowhere", ["c"], None)]
     got = rows(video_lookup(spark.createDataFrame(asked, PROBE), items, order), "probe_id", "mongo_id")
-    assert dict(got) == {"null": "none", "zero duration": "none", "b": "far", "empty band": "none", "empty in scope": "none", "band": "far", "none": "zero"} and len(got) == 7
+    assert dict(got) == {"null": "none", "zero duration": "none", "b": "far", "empty band": "none", "empty in scope": "none", "band": "far", "none": "none"} and len(got) == 7
     found = rows(video_lookup(spark.createDataFrame(asked, PROBE), items, order, global_mode=True), "probe_id", "mongo_id")
     assert dict(found)["empty in scope"] == "far" and dict(found)["nowhere"] == "none"
     whole = {r["probe_id"]: (r["mongo_id"], r["reason"]) for r in lookup(spark.createDataFrame(asked, PROBE), items, order).collect()}

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from weftmatch import options
 from weftmatch.operators import messages as M
+from weftmatch.operators.attribution import Blocked
 
 CHAT, USER = "struct<id bigint, username string, title string>", "struct<id bigint, username string, first_name string, last_name string, is_bot boolean>"
 SCHEMA = f"id int, text string, caption string, sender_chat {CHAT}, via_bot {USER}, from_user {USER}, forward_origin struct<chat {CHAT}, sender_user {USER}, sender_user_name string, message_id bigint>, photo array<struct<file_id string, file_unique_id string>>, animation struct<file_unique_id string>, document struct<file_unique_id string, mime_type string, file_name string>, reply_to_message struct<text string>"
@@ -26,12 +27,40 @@ def test_sources_in_order(spark):
     )
     accounts = spark.createDataFrame([("username", "@fwd", "c1"), ("user", "7", "c2"), ("user", "8", "c3"), ("chat", "6", "c9"), ("user", "8", "c4")], "kind string, key string, collection string")
     titles = spark.createDataFrame([("lantern hunt", "c5", 1)], "title string, collection string, ord int")
-    got = {r["id"]: r for r in M.attribute(df, accounts, titles, [("card\\s+drop", "c6")], [("hidden|please", "c7")]).collect()}
+    got = {r["id"]: r for r in M.attribute(df, accounts, titles, [("card\\s+drop", "c6")], [("hidden|please", "/amber")], {"/amber": ["c7"], "/two": ["c1", "c2"]}).collect()}
     assert [got[i]["source_collection"] for i in range(1, 7)] == ["c1", "c2", "c3", "c5", "c7", None]
     assert (got[1]["origin_chat_id"], got[1]["origin_message_id"], got[1]["source_title"]) == (5, 9, "T")
     assert (got[4]["source_username"], got[4]["source_title"], got[5]["source_title"], got[5]["text_command"]) == (None, "Lantern Hunt", "Hidden", "/amber")
 
 
+def test_blocked_sources_have_none(spark):
+    df = make(
+        spark,
+        dict(id=1, sender_chat=(6, "Bad", "S"), text="card drop"),
+        dict(id=2, via_bot=(7, None, None, None, None)),
+        dict(id=3, from_user=(8, None, "Spam", "King", False)),
+        dict(id=4, forward_origin=(None, None, "Ｓｐａｍ_Ｋｉｎｇ", None)),
+        dict(id=5, sender_chat=(9, "good", "fine")),
+        dict(id=6),
+    )
+    listed = Blocked(frozenset([7]), frozenset(["@bad"]), frozenset(["SPAM king", "!"]))
+    none = spark.createDataFrame([], "kind string, key string, collection string")
+    titles = spark.createDataFrame([("fine", "c5", 1)], "title string, collection string, ord int")
+    got = {r["id"]: (r["is_blocked"], r["source_collection"]) for r in M.attribute(df, none, titles, [("card", "c6")], listed=listed).collect()}
+    assert got == {1: (True, None), 2: (True, None), 3: (True, None), 4: (True, None), 5: (False, "c5"), 6: (False, None)}
+    assert not any(r[0] for r in df.select(M.is_blocked(df, Blocked())).collect())
+
+
+def test_final_command_and_owners(spark, rows):
+    found = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", None), ("4", "a")], "probe_id string, collection string")
+    probes = spark.createDataFrame([("1", None, "/x"), ("2", None, "/x"), ("3", "/y", None), ("4", "/y", "/x"), ("4", "/y", "/x")], "probe_id string, account_command string, text_command string")
+    commands = spark.createDataFrame([("/x", "a"), ("/z", "b")], "command string, collection string")
+    defaults = spark.createDataFrame([("a", "/da"), ("b", "/db")], "collection string, default_command string")
+    assert rows(M.with_final_command(found, probes, commands, defaults)) == [("1", "a", "/x"), ("2", "b", "/db"), ("3", None, None), ("4", "a", "/y")]
+    users = spark.createDataFrame([(1,), (2,), (3,), (None,)], "u bigint")
+    assert [r[0] for r in users.select(M.privileged(F.col("u"), [1], [3])).collect()] == [True, False, True, False]
+
+
 def test_media_of_a_message(spark):
     df = make(spark, dict(id=1, photo=[("a", "small"), ("b", "large")]), dict(id=2, animation=("gif",)), dict(id=3, document=("d", None, "x.MP4")), dict(id=4, document=("d", "text/plain", "x.txt")), dict(id=5, photo=[]))
     got = df.select(*[c.alias(n) for n, c in M.media_columns(df).items()]).collect()

@@ -56,7 +56,11 @@ def test_results(spark):
     assert one(spark, N.hint_text(F.col("c"), F.col("n")), c="/x", n="A B") == "/x A"
     assert one(spark, N.document_media_type(F.col("m"), F.col("f")), m=None, f="x.GIF") == "photo"
     assert one(spark, N.document_media_type(F.col("m"), F.col("f")), m="video/mp4", f=None) == "video"
-    assert [one(spark, N.age_text(F.col("s")), s=s) for s in (-1, 5, 65, 7300)] == ["never", "5s", "1m", "2h"]
+    assert [one(spark, N.document_media_type(F.col("m"), F.col("f")), m="x/y", f=f) for f in ("a.bmp", "a.avi", "a.JPEG", "a.mov")] == [None, None, "photo", "video"]
+    assert [one(spark, N.age_text(F.col("s")), s=s) for s in (-1, 5, 65, 7300)] == ["N/A", "5s", "1m 5s", "2h 1m"]
+    assert [one(spark, N.uptime_text(F.col("s")), s=s) for s in (5, 65, 7300, 90061)] == ["5s", "1m 5s", "2h 1m 40s", "1d 1h 1m"]
+    assert [one(spark, N.count_text(F.col("s")), s=s) for s in (0, 1234567)] == ["0", "1,234,567"]
+    assert [one(spark, N.ms_text(F.col("s")), s=s) for s in (2.5, 3.5, 0.2)] == ["2 ms", "4 ms", "0 ms"]
 
 
 RAW = "_id string, collection string, name string, title string, type string, photo_fingerprint struct<phash string, dhash string>, video_fingerprint struct<duration_ms string, sample_hashes array<struct<position double, frame_index int, phash string, dhash string>>>, media_geometry struct<duration_ms string>, frames array<string>, id string, file_unique_ids array<string>, source_origin struct<chat_id string, message_id string>"
@@ -98,13 +102,41 @@ def test_store_and_payload(spark, tmp_path, rows):
 def test_commands_and_rules(spark):
     texts = ["/Grab@bot now", "please using: /pick_2", "see /x, ok", "nothing", "", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    assert [r[0] or None for r in df.select(attribution.command_in(F.col("t"))).collect()] == ["/grab", "/pick_2", "/x", None, None, None]
+    known = ["/grab", "/pick_2", "/x", "/catch"]
+    said = lambda d: [r[0] for r in d.select(attribution.command_in(F.col("t"), known)).collect()]
+    assert said(df) == ["/grab", "/pick_2", "/x", None, None, None]
+    more = ["/unknown use /catch", "／ｃａｔｃｈ now", "ᴜsɪɴɢ = /Catch", "see /other and /x", "full/x", "http://x", "//x", "go /x@bot!", "go /x@", "/x@bot@y", "at\n/x", "/grab2", "/grab-2"]
+    assert said(spark.createDataFrame([(t,) for t in more], "t string")) == ["/catch", "/catch", "/catch", None, "/x", None, None, "/x", None, "/x", "/x", None, "/grab"]
+    assert said(spark.createDataFrame([("use " + "/ " * 50_000 + "/x",)], "t string")) == ["/x"]
+    assert df.select(attribution.command_in(F.col("t"), []).alias("c")).filter("c is not null").count() == 0
+    hand = spark.createDataFrame([("/Waifu",), ("/waifu@Bot x",), ("/waifu@other",), (" /waifu",), ("/waifus",), ("",), (None,)], "t string")
+    assert [r[0] for r in hand.select(attribution.manual_command(F.col("t"), ["/waifu"], "@bot")).collect()] == ["/waifu", "/waifu", None, None, None, None, None]
     rules = [("card\\s+drop", "one"), ("drop", "two")]
     many = spark.createDataFrame([("CARD\n drop",), ("a drop",), (None,)], "t string")
     assert [r[0] for r in many.select(attribution.first_rule(rules, F.col("t"))).collect()] == ["one", "two", None]
     assert [r[0] for r in many.select(attribution.custom_rule([("drop|card", "both"), ("drop", "one")], F.col("t"))).collect()] == ["both", "one", None]
 
 
+def test_titles_are_folded(spark):
+    assert [one(spark, N.clean_title("a"), a=t) for t in ("မြန်မာ_Bot", "Ｍｙ ʙᴏᴛ", "…", "a__b")] == ["မြန်မာ bot", "my bot", "", "a b"]
+    assert N.title_text("  Ｍｙ_ʙᴏᴛ မြ! ") == "my bot မြ"
+
+
+def test_rules_for_an_account(spark):
+    df = spark.createDataFrame([("@feed", "x y"), ("@other", "x y"), (None, "@feed")], "a string, t string")
+    rules = [("x|y", "words"), ("@Feed", "account")]
+    assert [r[0] for r in df.select(attribution.custom_rule(rules, F.col("t"), F.col("a"))).collect()] == ["account", "words", None]
+
+
+def test_frame_lists_in_all_forms(spark):
+    schema = "a string, b map<string,string>, c array<struct<hash string, phash string>>, d array<string>"
+    df = spark.createDataFrame([("x, y,", {"k": "m"}, [("", "p"), ("h", "q"), (None, None)], ["l", " "]), ("", {}, [], None)], schema)
+    get = lambda c: [r[0] for r in df.select(N.frame_hashes(I.frame_list(df, c))).collect()]
+    assert get("a") == [["x", "y"], []] and get("b") == [["m"], []] and get("c") == [["p", "h"], []] and get("d") == [["l"], []]
+    raw = spark.createDataFrame([("1", "c", "n", (["f1"],))], "_id string, collection string, name string, media struct<frame_hashes array<string>>")
+    assert I.parse_items(raw).head()["frame_hashes"] == ["f1"]
+
+
 def test_titles_scopes_and_blocks(spark, rows):
     titles = spark.createDataFrame([("lantern hunt", "l", 2), ("lantern", "k", 1), ("amber", "a", 3)], "title string, collection string, ord int")
     probes = spark.createDataFrame([("1", "Lantern_Hunt"), ("2", "the LANTERN hunt bot"), ("3", "amb"), ("4", None), ("5", "other")], "probe_id string, heard string")

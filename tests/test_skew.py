@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weftmatch.operators.skew import heavy_keys, skew_aggregate, skew_counts, skew_join
+from weftmatch.operators.skew import heavy_keys, skew_aggregate, skew_counts, skew_join, skew_pairs
 from weftmatch.plans.keys import key_profile
 
 
@@ -54,3 +54,28 @@ def test_empty_table_and_name_with_a_dot(spark, rows):
     one = lambda d, by: d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     add = lambda d, by: d.groupBy(*by).agg(F.sum("n").alias("n"))
     assert rows(skew_aggregate(df, "odd_key", one, add, one, F.lit(0))) == [("a", 1)]
+
+
+def test_pairs_of_two_skewed_sides(spark, rows):
+    left = spark.createDataFrame([("hot", i) for i in range(40)] + [("cold", 1), (None, 2), ("left", 3)], "k string, a int")
+    right = spark.createDataFrame([("hot", i) for i in range(30)] + [("cold", 7), ("cold", 8), (None, 9)], "k string, b int")
+    want = sorted([("hot", i, j) for i in range(40) for j in range(30)] + [("cold", 1, 7), ("cold", 1, 8)], key=repr)
+    assert rows(skew_pairs(left, right, "k")) == want
+    assert rows(skew_pairs(left, right, "k", keys=[])) == want == rows(skew_pairs(left, right, "k", keys=["hot", "cold"], grid=3))
+    assert skew_pairs(left.limit(0), right, "k").count() == skew_pairs(left, right.limit(0), "k").count() == 0
+
+
+def test_a_hot_chunk_is_spread_over_tasks(spark):
+    """One chunk holds a tenth of all rows: no partition of its pairs is above twice the median."""
+    items = spark.range(20_000).selectExpr("'c' as collection", "cast(id as string) as mongo_id", "if(id % 10 = 0, 7, id) as key")
+    probes = spark.range(200).selectExpr("cast(id as string) as probe_id", "7 as key")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sizes = [r[0] for r in skew_pairs(probes, items, "key").groupBy(F.spark_partition_id()).count().select("count").collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(sizes) == 200 * 2001 and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]

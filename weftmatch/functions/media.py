@@ -21,7 +21,7 @@ def frame_index(count: Column, share: Column) -> Column:
 
 def video_signature(samples: Column) -> Column:
     """SHA-256 over position:phash:dhash of all samples; null where there is none."""
-    parts = F.transform(samples, lambda s: F.concat_ws(":", F.format_string("%.4f", s["position"]), s["phash"], s["dhash"]))
+    parts = F.transform(samples, lambda s: F.concat_ws(":", F.round(s["position"], 4).cast("string"), s["phash"], s["dhash"]))
     return F.when(F.size(samples) > 0, F.sha2(F.array_join(parts, "|"), 256))
 
 
@@ -74,8 +74,11 @@ HASHES = "path string, width int, height int, pixel_sha256 string, phash string,
 
 
 def hash_images(spark: SparkSession, path: str) -> DataFrame:
-    """Fingerprints of every image file under ``path``; files that don't decode give no row."""
-    images = spark.read.format("image").option("dropInvalid", True).load(path).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+    """``path``, ``sha256`` of every file under ``path``, with its fingerprints where it decodes as an image; other files
+    keep nothing but their digest."""
+    same = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    files = spark.read.format("binaryFile").load(path).select(same("path").alias("path"), F.sha2("content", 256).alias("sha256"))
+    images = spark.read.format("image").option("dropInvalid", True).load(path).select(same("image.origin").alias("origin"), "image.height", "image.width", "image.nChannels", "image.data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,4 +93,4 @@ def hash_images(spark: SparkSession, path: str) -> DataFrame:
             kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 5]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], [p.split()[0] for p in HASHES.split(", ")])
 
-    return images.mapInArrow(run, HASHES)
+    return files.join(images.mapInArrow(run, HASHES), "path", "left")

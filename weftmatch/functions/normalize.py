@@ -1,23 +1,25 @@
-"""Column expressions that bring heterogeneous documents to one form. All are built-in expressions except NFKC."""
+"""Column expressions that bring heterogeneous documents to one form. All are built-in expressions except NFKC, which runs
+over the distinct values of Arrow batches."""
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 STRINGS = "array<string>"
 SAMPLES = "array<struct<position:double,frame_index:int,phash:string,dhash:string>>"
-# Spellings of media types, and the small capitals that compatibility folding leaves.
+# Spellings of media types, file endings of photos and videos, and the small capitals that compatibility folding leaves.
 PHOTO_WORDS, VIDEO_WORDS = ("image", "pic", "picture"), ("animation", "gif")
+PHOTO_ENDINGS, VIDEO_ENDINGS = (".jpg", ".jpeg", ".png", ".webp", ".gif"), (".mp4", ".mkv", ".mov", ".webm")
 SMALL_CAPS, SMALL_CAPS_LATIN = "ᴀʙᴄᴅᴇꜰɢʜɪᴊᴋʟᴍɴᴏᴘʀꜱᴛᴜᴠᴡʏᴢ", "abcdefghijklmnoprstuvwyz"
 #: White space of all kinds, dropped from both ends of a value.
 SPACES = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Characters dropped from the front of a name.
+# Fixed value: the characters dropped from the front of a name.
 NOISE = r"^[\s:：|┃•·\-–—_]+"
 
 
@@ -75,10 +77,16 @@ def nonzero_first(*xs: Column | str) -> Column:
     return F.coalesce(*[F.nullif(col(x).try_cast("bigint"), F.lit(0).cast("bigint")) for x in xs], F.lit(0).cast("bigint"))
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(x: pd.Series) -> pd.Series:
-    """Compatibility composition, in Arrow batches; ASCII texts are returned as they are."""
-    return x.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+@F.arrow_udf(T.StringType())
+def _nfkc(x: pa.Array) -> pa.Array:
+    coded = x.dictionary_encode()
+    forms = [t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in coded.dictionary.to_pylist()]
+    return pa.array(forms, pa.string()).take(coded.indices)
+
+
+def nfkc(x: Column | str) -> Column:
+    """Compatibility composition, of each distinct value of a batch once; texts of ASCII alone are their own form."""
+    return _nfkc(col(x))
 
 
 def strip_noise(x: Column | str) -> Column:
@@ -106,8 +114,15 @@ def stylised_fold(x: Column | str) -> Column:
 
 
 def clean_title(x: Column | str) -> Column:
-    """Lower-case letters a-z, digits and single spaces; underscores count as spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(col(x)), r"[^0-9a-z\s]+", " "), r"\s+", " "))
+    """The folded title in lower case: letters a-z, Burmese letters, digits and single spaces; underscores and all other
+    characters count as spaces. Null stays null."""
+    return F.trim(F.regexp_replace(F.lower(stylised_fold(x)), r"[^0-9a-z\u1000-\u109f]+", " "))
+
+
+def title_text(text: str) -> str:
+    """``clean_title`` of one text on the driver, for options."""
+    low = unicodedata.normalize("NFKC", text).translate(str.maketrans(SMALL_CAPS, SMALL_CAPS_LATIN)).lower()
+    return " ".join("".join(c if c in "0123456789abcdefghijklmnopqrstuvwxyz" or "\u1000" <= c <= "\u109f" else " " for c in low).split())
 
 
 def username(x: Column | str) -> Column:
@@ -134,11 +149,43 @@ def hint_text(command: Column, name: Column) -> Column:
 
 def document_media_type(mime: Column, file_name: Column) -> Column:
     """Media type of a document by MIME type, else by file ending; a GIF is a photo."""
-    m, f = F.lower(mime), F.lower(file_name)
-    return F.when(m.startswith("image/") | f.rlike(r"\.(jpe?g|png|webp|gif|bmp)$"), "photo").when(m.startswith("video/") | f.rlike(r"\.(mp4|mkv|webm|mov|avi)$"), "video")
+    m, f = F.coalesce(F.lower(mime), F.lit("")), F.coalesce(F.lower(file_name), F.lit(""))
+
+    def ends(endings: Sequence[str]) -> Column:
+        return F.exists(F.array(*map(F.lit, endings)), lambda e: F.endswith(f, e))
+
+    return F.when(m.startswith("image/") | ends(PHOTO_ENDINGS), "photo").when(m.startswith("video/") | ends(VIDEO_ENDINGS), "video")
+
+
+def count_text(n: Column) -> Column:
+    """A whole number with thousands marked; null is 0."""
+    return F.format_number(F.coalesce(n.cast("bigint"), F.lit(0).cast("bigint")), 0)
+
+
+def ms_text(ms: Column) -> Column:
+    """Milliseconds without decimals, halves to the even neighbour; null is 'N/A'."""
+    return F.coalesce(F.concat(F.bround(ms).cast("bigint").cast("string"), F.lit(" ms")), F.lit("N/A"))
+
+
+def _units(seconds: Column, *units: tuple[str, int, int | None]) -> Column:
+    """``seconds`` as so many of each (letter, seconds in one, how many make the next larger unit)."""
+    parts = []
+    for letter, size, limit in units:
+        n = F.floor(seconds / size)
+        parts.append(F.concat((n if limit is None else n % limit).cast("string"), F.lit(letter)))
+    return F.concat_ws(" ", *parts)
+
+
+def uptime_text(seconds: Column) -> Column:
+    """The time since a start in its two or three largest units, seconds only below a day."""
+    s = seconds.cast("bigint")
+    day, hour, minute = ("d", 86_400, None), ("h", 3_600, 24), ("m", 60, 60)
+    second = ("s", 1, 60)
+    below_a_day = F.when(s >= 3_600, _units(s, hour, minute, second)).when(s >= 60, _units(s, minute, second)).otherwise(_units(s, second))
+    return F.when(s >= 86_400, _units(s, day, hour, minute)).otherwise(below_a_day)
 
 
 def age_text(seconds: Column) -> Column:
-    """'never' below 0, else seconds, minutes or hours."""
+    """'N/A' below 0, else seconds, minutes and seconds, or hours and minutes."""
     s = seconds.cast("bigint")
-    return F.when(s < 0, "never").when(s < 60, F.concat(s.cast("string"), F.lit("s"))).when(s < 3600, F.concat(F.floor(s / 60).cast("string"), F.lit("m"))).otherwise(F.concat(F.floor(s / 3600).cast("string"), F.lit("h")))
+    return F.when(s < 0, "N/A").when(s < 60, _units(s, ("s", 1, None))).when(s < 3_600, _units(s, ("m", 60, None), ("s", 1, 60))).otherwise(_units(s, ("h", 3_600, None), ("m", 60, 60)))

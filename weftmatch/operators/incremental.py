@@ -95,6 +95,32 @@ def ttl_dedupe(events: DataFrame, keys: Sequence[str], at: str, ttl_s: float, sl
     return pieces.repartition(*names).sortWithinPartitions(*names, "__t").mapInPandas(run, schema)
 
 
+def ttl_lookup(reads: DataFrame, writes: DataFrame, keys: Sequence[str], at: str, ttl_s: float, value: str = "value") -> DataFrame:
+    """``reads`` with ``value`` of the last write of their key before them that has not expired: a write lives ``ttl_s``
+    seconds, reading does not prolong it, and it is gone at its very end. A write at the time of a read comes first; of
+    writes at one time the largest value holds. Null keys or times find nothing.
+
+    Time is cut into slots of one lifetime, so that a read needs the last write of the slot before and those of its own."""
+    span = int(ttl_s * 1_000_000)
+    slot = F.floor(F.unix_micros(at) / F.lit(span))
+    made = writes.select(*keys, F.unix_micros(at).alias("__at"), F.col(value).alias("__v"), slot.alias("__slot")).dropna(subset=[*keys, "__at"])
+    last = made.groupBy(*keys, "__slot").agg(F.max(F.struct("__at", "__v")).alias("__last")).withColumn("__slot", F.col("__slot") + 1)
+    none = F.lit(None).cast(made.schema["__v"].dataType)
+    asked = reads.withColumns({"__at": F.unix_micros(at), "__slot": slot, "__set": F.lit(1), "__v": none})
+    both = asked.unionByName(made.select(*keys, "__at", "__slot", F.lit(0).alias("__set"), "__v"), allowMissingColumns=True)
+    order = W.partitionBy(*keys, "__slot").orderBy("__at", "__set", "__v").rowsBetween(W.unboundedPreceding, 0)
+    own = F.last(F.when(F.col("__set") == 0, F.struct("__at", "__v")), ignorenulls=True).over(order)
+    seen = both.withColumn("__own", own).filter("__set = 1").join(last, [*keys, "__slot"], "left")
+    hit = F.coalesce("__own", "__last")
+    alive = hit["__at"] + span > F.col("__at")
+    return seen.withColumn(value, F.when(alive, hit["__v"])).select(*[c for c in reads.columns if c != value], value)
+
+
+def parsed_mark(text: Column) -> Column:
+    """A high-water mark from ISO text: without a zone it is UTC (the session's zone), unreadable text gives null."""
+    return F.trim(text).try_cast("timestamp")
+
+
 def ema(values: Column, alpha: float = 0.15) -> Column:
     """Exponential moving average of an ordered array; 0 counts as "nothing yet", so the next value replaces it."""
     return F.aggregate(values, F.lit(0.0), lambda a, x: F.when(a == 0, x).otherwise(F.lit(alpha) * x + F.lit(1 - alpha) * a))

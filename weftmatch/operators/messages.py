@@ -6,13 +6,13 @@ coalesced expressions and joins with dimension tables, so a batch of messages is
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
-from .attribution import command_in, custom_rule, first_rule, small, title_match
+from .attribution import Blocked, command_in, custom_rule, first_rule, small, title_match
 
 
 def at(df: DataFrame, path: str, kind: str = "string") -> Column:
@@ -34,6 +34,7 @@ def _if_bot(df: DataFrame, field: str, kind: str = "string") -> Column:
     return F.when(at(df, "from_user.is_bot", "boolean"), at(df, f"from_user.{field}", kind))
 
 
+# The places of a message that name where it comes from, in order.
 CHATS = ("forward_origin.chat", "forward_origin.sender_chat", "forward_from_chat", "sender_chat")
 USERS = ("forward_origin.sender_user", "via_bot", "forward_from")
 
@@ -51,8 +52,20 @@ def origin_columns(df: DataFrame) -> dict[str, Column]:
 
 
 def message_text(df: DataFrame) -> Column:
-    """Caption and text of the message, of what it quotes and of what it replies to, blank ones left out."""
-    return N.joined_text(*[at(df, f"{where}{field}") for where in ("", "external_reply.", "reply_to_message.") for field in ("caption", "text", "html_text", "md_text")])
+    """Caption and text of the message, of what it quotes and of what it replies to, blank ones left out, folded."""
+    return N.stylised_fold(N.joined_text(*[at(df, f"{where}{field}") for where in ("", "external_reply.", "reply_to_message.") for field in ("caption", "text", "html_text", "md_text")]))
+
+
+def is_blocked(df: DataFrame, listed: Blocked, where: str = "") -> Column:
+    """Whether a message comes from a blocked source: its origin chat, any user it names as its sender, or a hidden name."""
+    chat = [f"{where}{p}" for p in CHATS]
+    users = [f"{where}{p}" for p in (USERS[0], "from_user", "forward_from", "via_bot")]
+    first = lambda field, kind="string": F.coalesce(*[at(df, f"{p}.{field}", kind) for p in chat])
+    return listed.holds(
+        [first("id", "bigint"), *[at(df, f"{u}.id", "bigint") for u in users]],
+        [first("username"), *[at(df, f"{u}.username") for u in users]],
+        [first("title"), *[_full_name(df, u) for u in users], at(df, f"{where}forward_origin.sender_user_name")],
+    )
 
 
 def media_columns(df: DataFrame, where: str = "") -> dict[str, Column]:
@@ -65,20 +78,29 @@ def media_columns(df: DataFrame, where: str = "") -> dict[str, Column]:
     return {"media_type": kind, "file_unique_id": F.coalesce(photo, video, paper)}
 
 
-def attribute(messages: DataFrame, accounts: DataFrame, titles: DataFrame, rules: Sequence[tuple[str, str]] = (), custom: Sequence[tuple[str, str]] = ()) -> DataFrame:
-    """``messages`` with origin columns, ``message_text``, ``text_command`` and ``source_collection``.
+def attribute(messages: DataFrame, accounts: DataFrame, titles: DataFrame, rules: Sequence[tuple[str, str]] = (), custom: Sequence[tuple[str, str]] = (), commands: Mapping[str, Sequence[str]] | None = None, listed: Blocked = Blocked()) -> DataFrame:
+    """``messages`` with origin columns, ``message_text``, ``text_command``, ``is_blocked`` and ``source_collection``.
 
-    The source is that of the account name, else of the user id, else of the chat id, else of the title, else of the
-    first text rule, else of the first custom rule. ``accounts`` has (kind, key, collection) with kind ``username``,
-    ``user`` or ``chat``; ``titles`` has (title, collection, ord). Keys listed twice count as their smallest collection."""
-    out = messages.withColumns({**origin_columns(messages), "message_text": message_text(messages)})
-    known = accounts.groupBy("kind", "key").agg(F.min("collection").alias("collection"))
+    A blocked message has no source. Else it is that of the account name, else of the user id, else of the chat id, else
+    of the title, else of the first text rule, else of the custom rule's command, if that has one collection only.
+    ``accounts`` has (kind, key, collection) with kind ``username``, ``user`` or ``chat``; ``titles`` has (title,
+    collection, ord); ``commands`` has the collections of every known command. Keys listed twice count as their smallest
+    collection."""
+    known = dict(commands or {})
+    out = messages.withColumns({**origin_columns(messages), "message_text": message_text(messages), "is_blocked": is_blocked(messages, listed)})
+    held = accounts.groupBy("kind", "key").agg(F.min("collection").alias("collection"))
     for kind, column in (("username", "source_username"), ("user", "source_user_id"), ("chat", "origin_chat_id")):
-        side = known.filter(F.col("kind") == kind).select(F.col("key").alias("__key"), F.col("collection").alias(f"__{kind}"))
+        side = held.filter(F.col("kind") == kind).select(F.col("key").alias("__key"), F.col("collection").alias(f"__{kind}"))
         out = out.join(small(side), F.col(column).cast("string") == F.col("__key"), "left").drop("__key")
     out = title_match(out, titles, "source_title")
-    found = F.coalesce("__username", "__user", "__chat", "title_collection", first_rule(rules, F.col("message_text")), custom_rule(custom, F.concat_ws("\n", "source_title", "message_text")))
-    return out.withColumn("source_collection", found).withColumn("text_command", command_in(F.col("message_text"))).drop("__username", "__user", "__chat", "title_collection")
+    only = F.lit(None).cast("string")
+    by_custom = custom_rule(custom, F.concat_ws("\n", "source_title", "message_text"), F.col("source_username"))
+    for command, collections in known.items():
+        if len(collections) == 1:
+            only = F.when(by_custom == command, collections[0]).otherwise(only)
+    found = F.coalesce("__username", "__user", "__chat", "title_collection", first_rule(rules, F.col("message_text")), only)
+    out = out.withColumn("source_collection", F.when(~F.col("is_blocked"), found)).withColumn("custom_command", by_custom)
+    return out.withColumn("text_command", command_in(F.col("message_text"), sorted(known))).drop("__username", "__user", "__chat", "title_collection")
 
 
 def output_command(by_account: Column, by_title: Column, by_rule: Column, in_text: Column, default: Column, allowed: Column) -> Column:
@@ -88,6 +110,25 @@ def output_command(by_account: Column, by_title: Column, by_rule: Column, in_tex
     return F.coalesce(by_account, by_title, fits(by_rule), fits(in_text), default)
 
 
+def with_final_command(found: DataFrame, probes: DataFrame, commands: DataFrame, defaults: DataFrame) -> DataFrame:
+    """Results of a lookup with the ``command`` that each is shown with.
+
+    ``probes`` may have ``account_command``, ``title_command``, ``rule_command`` and ``text_command``; ``commands`` has
+    (command, collection), ``defaults`` (collection, default_command). A command from a rule or from the text counts only
+    if it is one of the result's collection. Results without a collection have no command."""
+    hints = [c for c in ("account_command", "title_command", "rule_command", "text_command") if c in probes.columns]
+    allowed = commands.groupBy("collection").agg(F.collect_set("command").alias("__allowed"))
+    rows = found.join(probes.select("probe_id", *hints).dropDuplicates(["probe_id"]), "probe_id", "left").join(small(allowed), "collection", "left").join(small(defaults.select("collection", "default_command")), "collection", "left")
+    get = lambda c: F.col(c) if c in hints else F.lit(None).cast("string")
+    shown = output_command(get("account_command"), get("title_command"), get("rule_command"), get("text_command"), F.col("default_command"), F.col("__allowed"))
+    return rows.withColumn("command", F.when(F.col("collection").isNotNull(), shown)).select(*found.columns, "command")
+
+
+def privileged(user: Column, owners: Sequence[int], helpers: Sequence[int] = ()) -> Column:
+    """Whether a user is an owner or one of the owners' helpers."""
+    return F.coalesce(user.isin(*owners, *helpers), F.lit(False)) if [*owners, *helpers] else F.lit(False)
+
+
 def recent(events: DataFrame, at_column: str, start: Column) -> DataFrame:
     """Events not older than ``start``; those without a time drop out."""
     return events.filter(F.col(at_column) >= start)

@@ -17,6 +17,7 @@ EVERY = 50
 LIMITS = score.Limits(special="items_stray_album")
 CONTENT_RULES = (("took\\s+\\d+\\s+ms", "log"), ("\\bID\\b\\s*\\d+", "card"), ("please\\s+read", "notice"), ("build\\s+\\d", "release"))
 CUSTOM_RULES = (("seen:|wanted:", "trade"), ("# |chat", "heading_chat"), ("/", "command"))
+CUSTOM_COMMANDS = (("@feed_19", "/ember"), ("seen:|wanted:", "/moon"), ("# |chat", "/paper"), ("/", "/lookup"))
 HIDDEN = ("/amber", "/copper")
 
 
@@ -40,6 +41,11 @@ def item_probes(items: DataFrame) -> DataFrame:
     return items.filter(is_probe(F.conv(F.substring("mongo_id", -8, 8), 16, 10).cast("bigint"))).withColumn("probe_id", F.col("mongo_id"))
 
 
+def without_own(probes: DataFrame) -> DataFrame:
+    """Probes that don't match the item they were made from."""
+    return probes.withColumn("not_id", F.col("mongo_id"))
+
+
 KEYS = ("file_unique_id", "file_unique_ids", "sha256", "sha256_aliases", "pixel_sha256", "video_signature", "origin_chat_id", "origin_message_id")
 
 
@@ -118,12 +124,12 @@ def _photos(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def photo_weighted_top1(spark: SparkSession, sf: str) -> DataFrame:
     probes, items = _photos(spark, sf)
-    return photo_lookup(probes, items, order(spark, sf), LIMITS)
+    return photo_lookup(without_own(probes), items, order(spark, sf), LIMITS)
 
 
 def photo_strict_top1(spark: SparkSession, sf: str) -> DataFrame:
     probes, items = _photos(spark, sf)
-    return photo_lookup(probes, items, order(spark, sf), LIMITS, global_mode=True)
+    return photo_lookup(without_own(probes), items, order(spark, sf), LIMITS, global_mode=True)
 
 
 def photo_single_hash_top1(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,9 +153,9 @@ def video_strict_top1(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def video_nearest(spark: SparkSession, sf: str) -> DataFrame:
-    """The nearest video in the band, else of all, however far it is, so that every comparable probe has one."""
+    """The nearest other video in the band, else of all, however far it is, so that every comparable probe has one."""
     probes, items = _videos(spark, sf)
-    return video_lookup(probes, items, order(spark, sf), score.Limits(video_min=64, video_avg=64))
+    return video_lookup(without_own(probes), items, order(spark, sf), score.Limits(video_min=64, video_avg=64))
 
 
 def full_lookup(spark: SparkSession, sf: str) -> DataFrame:
@@ -210,8 +216,12 @@ def content_rule_counts(spark: SparkSession, sf: str) -> DataFrame:
     return docs.groupBy(rule.alias("rule"), "source").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
+def _known(spark: SparkSession, sf: str) -> list[str]:
+    return attribution.known_commands(table(spark, sf, "collection_dim"), "default_command")
+
+
 def commands_in_texts(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", attribution.command_in(F.col("text")).alias("command"))
+    docs = table(spark, sf, "documents").select("doc_id", attribution.command_in(F.col("text"), _known(spark, sf)).alias("command"))
     known = table(spark, sf, "collection_dim").select(F.col("default_command").alias("command"), "collection")
     return docs.filter("command is not null").join(attribution.small(known), "command", "left").select("doc_id", "command", "collection")
 
@@ -221,7 +231,7 @@ def lookup_scopes(spark: SparkSession, sf: str) -> DataFrame:
     dim = table(spark, sf, "collection_dim")
     pairs = dim.select(F.col("default_command").alias("command"), "trust_rank").join(attribution.small(dim.select("collection", "ord", "trust_rank")), "trust_rank")
     scopes = attribution.command_scopes(pairs).withColumnRenamed("scope", "command_scope")
-    docs = table(spark, sf, "documents").select("doc_id", "source", N.clean("collection").alias("from_collection"), attribution.command_in(F.col("text")).alias("command"))
+    docs = table(spark, sf, "documents").select("doc_id", "source", N.clean("collection").alias("from_collection"), attribution.command_in(F.col("text"), _known(spark, sf)).alias("command"))
     docs = docs.join(attribution.small(scopes), "command", "left")
     scope = attribution.lookup_scope(F.col("source") == "relay_main", F.col("from_collection"), F.col("command"), F.col("command_scope"))
     return docs.select("doc_id", scope.alias("s")).select("doc_id", "s.mode", F.array_join("s.collections", "|").alias("collections"))
@@ -240,8 +250,10 @@ def message_attribution(spark: SparkSession, sf: str) -> DataFrame:
     titles = dim.select(F.regexp_replace("collection", "^items_", "").alias("title"), "collection", "ord")
     chat = F.struct(F.lit(None).cast("bigint").alias("id"), F.col("source").alias("username"), F.concat_ws(" ", "kind", "collection").alias("title"))
     docs = table(spark, sf, "documents").select("doc_id", "text", chat.alias("sender_chat"))
-    found = messages.attribute(docs, accounts, titles, CONTENT_RULES, CUSTOM_RULES)
-    return found.select("doc_id", "source_username", "source_collection", "text_command")
+    commands = {r["default_command"]: [r["collection"]] for r in attribution.small(dim).limit(1000).collect()}
+    banned = attribution.Blocked(usernames=frozenset(["@relay_main"]), titles=frozenset(["Bio items_paper_heroes"]))
+    found = messages.attribute(docs, accounts, titles, CONTENT_RULES, CUSTOM_COMMANDS, commands, banned)
+    return found.select("doc_id", "source_username", "source_collection", "text_command", "is_blocked")
 
 
 def blocked_filter(spark: SparkSession, sf: str) -> DataFrame:
@@ -256,6 +268,56 @@ def formatted_results(spark: SparkSession, sf: str) -> DataFrame:
     return items.select("mongo_id", N.format_result(N.clean("name"), N.clean("card_id"), N.clean("rarity"), command, HIDDEN).alias("text"), F.concat_ws(" ", command, N.clean("name")).alias("full"))
 
 
+def final_commands(spark: SparkSession, sf: str) -> DataFrame:
+    """The command that each hit of a lookup is shown with: of its chat, of the probe's text where the collection has it,
+    else of the collection."""
+    events = table(spark, sf, "lookup_events").filter("hit").select(F.col("id").alias("probe_id"), "collection", "chat_id").distinct()
+    dim = table(spark, sf, "collection_dim")
+    hints = events.select("probe_id", F.when(F.col("chat_id") % 7 == 0, "/chat").alias("account_command"), F.when(F.col("chat_id") % 2 == 0, "/amber").alias("text_command"))
+    allowed = dim.select(F.col("default_command").alias("command"), "collection").unionByName(dim.filter("ord <= 8").select(F.lit("/amber").alias("command"), "collection"))
+    return messages.with_final_command(events.select("probe_id", "collection"), hints, allowed, dim)
+
+
+def manual_commands(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    said = F.concat(F.element_at(F.array(*map(F.lit, ("/Moon", "/amber@Card_Bot", "/amber@other", " /moon", "moon"))), F.col("doc_id").cast("int") % 5 + 1), F.lit(" "), F.left("text", F.lit(40)))
+    return docs.select("doc_id", attribution.manual_command(said, ("/amber", "/moon"), "@card_bot").alias("command"))
+
+
+def folded_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles in full-width, stylised and Burmese letters, one of each kind in turn, cleaned alike."""
+    heard = F.array(*map(F.lit, ("Ｌａｎｔｅｒｎ_Ｈｕｎｔ", "ʟᴀɴᴛᴇʀɴ ʜᴜɴᴛ!", "မြန်မာ Lantern", "Lantern -- Hunt", "𝐋antern Hunt")))
+    dim = spark.createDataFrame([("lantern hunt", "items_lantern_hunt", 3), ("မြန်မာ", "items_amber_catcher", 1)], "title string, collection string, ord int")
+    rows = table(spark, sf, "customer").select("c_custkey", F.element_at(heard, F.col("c_custkey").cast("int") % 5 + 1).alias("heard"))
+    return attribution.title_match(rows, dim, "heard").select("c_custkey", N.clean_title("heard").alias("title"), "title_collection")
+
+
+def media_of_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Media types by file ending and MIME type, over names with every ending in turn."""
+    ending = F.element_at(F.array(*map(F.lit, ("jpg", "JPEG", "gif", "bmp", "avi", "mp4", "mov", "txt"))), F.col("p_partkey").cast("int") % 8 + 1)
+    mime = F.when(F.col("p_size") % 5 == 0, "image/x").when(F.col("p_size") % 7 == 0, "video/mp4")
+    return table(spark, sf, "part").select("p_partkey", N.document_media_type(mime, F.concat("p_name", F.lit("."), ending)).alias("media_type"))
+
+
+def status_texts(spark: SparkSession, sf: str) -> DataFrame:
+    orders = table(spark, sf, "orders")
+    n = F.col("o_orderkey")
+    return orders.select("o_orderkey", N.count_text(n * 997).alias("count"), N.ms_text(F.col("o_totalprice")).alias("ms"), N.uptime_text(n * 61).alias("uptime"), N.age_text(n * 7 - 10).alias("age"))
+
+
+def cached_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Each lookup with the item that a cache of one hour, filled by the hits of its chat, would have given it."""
+    events = table(spark, sf, "lookup_events").select("id", "ts", "chat_id", "hit", "mongo_id").distinct().filter("ts is not null")
+    writes = events.filter("hit and mongo_id is not null").select("chat_id", (F.col("ts") + F.expr("interval 1 microsecond")).alias("ts"), F.col("mongo_id").alias("value"))
+    return incremental.ttl_lookup(events.select("id", "ts", "chat_id"), writes, ["chat_id"], "ts", 3600.0).select("id", F.unix_micros("ts").alias("ts_us"), "value")
+
+
+def parsed_marks(spark: SparkSession, sf: str) -> DataFrame:
+    """The high-water mark of each collection in the search index, whose times are ISO texts."""
+    rows = table(spark, sf, "fingerprint_items").select(F.lower(F.trim("collection")).alias("collection"), incremental.parsed_mark(F.col("updated_at")).alias("at"))
+    return rows.groupBy("collection").agg(F.unix_micros(F.max("at")).alias("mark_us"), F.count("at").alias("n_read"))
+
+
 def build_counts(spark: SparkSession, sf: str) -> DataFrame:
     return stats.collection_counts(table(spark, sf, "item_snapshots"))
 
@@ -344,7 +406,8 @@ def stored_payloads(spark: SparkSession, sf: str) -> DataFrame:
 _FNS = (
     exact_sha_lookup, exact_cascade_ranked, exact_scoped_only, unresolved_probes, writers_by_key, items_that_were_hit, hamming_search_phash, hamming_search_dhash, mih_candidate_counts, hash_chunk_index,
     hash_distances, photo_weighted_top1, photo_strict_top1, photo_single_hash_top1, video_multiframe_top1, video_strict_top1, video_nearest, full_lookup, duration_buckets, duration_band_counts, candidate_cap, first_present_alias,
-    string_lists, media_type_canonical, name_cleanup, normalized_names, text_scalars, content_rule_counts, commands_in_texts, lookup_scopes, title_sources, message_attribution, blocked_filter, formatted_results, build_counts,
+    string_lists, media_type_canonical, name_cleanup, normalized_names, text_scalars, content_rule_counts, commands_in_texts, lookup_scopes, title_sources, message_attribution, blocked_filter, formatted_results,
+    final_commands, manual_commands, folded_titles, media_of_documents, status_texts, cached_results, parsed_marks, build_counts,
     media_type_counts, filtered_count, distinct_union_count, delta_window, delta_scan, upsert_latest, first_and_last_seen, inserted_ids, chat_state, watermark, ttl_greedy_dedupe, latency_ema, latency_ema_total,
     hit_miss_counters, payload_codec, stored_payloads,
 )

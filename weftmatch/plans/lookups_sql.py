@@ -58,7 +58,7 @@ def _hamming(a: str, b: str) -> str:
 _WEIGHTS = (("phash", 0.35), ("dhash", 0.25), ("whash", 0.15), ("phash_large", 0.15), ("colorhash", 0.10))
 
 
-def _photo(strict: bool, only: str = "true") -> str:
+def _photo(strict: bool, only: str = "true", own: bool = False) -> str:
     hashes = ", ".join(f"{_clean(h)} as {h}" for h, _ in _WEIGHTS)
     dist = ", ".join(f"{_hamming('p.' + h, 'q.' + h)} as d_{h}, 4.0 * greatest(length(p.{h}), length(q.{h})) as n_{h}" for h, _ in _WEIGHTS)
     up = " + ".join(f"coalesce({w} * (1 - d_{h} / n_{h}), 0.0)" for h, w in _WEIGHTS)
@@ -67,20 +67,23 @@ def _photo(strict: bool, only: str = "true") -> str:
     least = 0.88 if strict else 0.80
     alone = f"d_phash <= {t} and 1 - d_phash / 64.0 >= {0.88 if strict else 0.0}"
     return f"""{_I}, h as (select mongo_id, collection, {hashes} from i), p as (select * from h where {_PROBE.format(x="mongo_id")}), q as (select * from h where {only}),
-r as (select p.mongo_id as probe_id, q.mongo_id, q.collection, q.dhash, {dist} from p join q on p.mongo_id <> q.mongo_id),
+r as (select p.mongo_id as probe_id, q.mongo_id, q.collection, q.dhash, {dist} from p join q on {"true" if own else "p.mongo_id <> q.mongo_id"}),
 s as (select *, cast(case when dhash is null then 1 - d_phash / 64.0 when ({down}) > 0 then ({up}) / ({down}) end as double) as score from r),
 a as (select * from s where score > 0 and case when dhash is null then {alone} else (coalesce(d_phash <= {t}, false) or coalesce(d_dhash <= 12, false)) and score >= {least} end),
 o as (select a.*, coalesce(ord, 1073741824) as ord from a left join collection_dim using (collection))
 select probe_id, arg_min(collection, (-round(score, 9), ord, mongo_id)) as collection, arg_min(mongo_id, (-round(score, 9), ord, mongo_id)) as mongo_id, round(arg_min(score, (-round(score, 9), ord, mongo_id)), 6) as score from o group by probe_id"""
 
 
-def _video(strict: bool, wide: bool = False) -> str:
+def _video(strict: bool, wide: bool = False, own: bool = False) -> str:
     cut = 2 if strict else 0
     bits = "('0x' || {c})::ubigint"
+    other = "true" if own else "p.mongo_id <> q.mongo_id"
     limits = "l <= 64 and a <= 64" if wide else f"l <= (case when i.collection = 'items_stray_album' then 14 else 10 end) - {cut} and a <= (case when i.collection = 'items_stray_album' then 16 else 12 end) - {cut}"
-    return f"""{_I}, v as (select mongo_id, collection, duration_ms, cast(round_even(duration_ms / 1000.0, 0) as integer) as b, coalesce(video_samples, []) as s,
-  list_filter(list_transform(coalesce(frame_hashes, []), lambda x: nullif(trim(x), '')), lambda x: x is not null) as f from i where duration_ms > 0 and (len(coalesce(video_samples, [])) > 0 or len(coalesce(frame_hashes, [])) > 0)),
-r as (select p.mongo_id as probe_id, q.mongo_id, q.collection, p.s as ps, q.s as qs, p.f as pf, q.f as qf from v p join v q on q.b between greatest(0, p.b - 4) and p.b + 4 and p.mongo_id <> q.mongo_id where {_PROBE.format(x="p.mongo_id")}),
+    return f"""{_I}, u as (select mongo_id, collection, case when duration_ms > 0 then cast(round_even(duration_ms / 1000.0, 0) as integer) end as b, coalesce(video_samples, []) as s,
+  list_filter(list_transform(coalesce(frame_hashes, []), lambda x: nullif(trim(x), '')), lambda x: x is not null) as f, {_MEDIA} as m from i),
+v as (select * from u where len(s) > 0 or len(f) > 0), w as (select * from u where m = 'video' or len(s) > 0 or len(f) > 0), a as (select p.* from v p where {_PROBE.format(x="p.mongo_id")}),
+n as (select distinct p.mongo_id from a p join w q on q.b between greatest(0, p.b - 4) and p.b + 4 and {other}),
+r as (select p.mongo_id as probe_id, q.mongo_id, q.collection, p.s as ps, q.s as qs, p.f as pf, q.f as qf from a p join v q on {other} and (q.b between greatest(0, p.b - 4) and p.b + 4 or p.mongo_id not in (select mongo_id from n))),
 x as (select probe_id, mongo_id, unnest(ps) as a, qs from r where len(ps) > 0 and len(qs) > 0),
 y as (select probe_id, mongo_id, a, unnest(qs) as b from x),
 d as (select probe_id, mongo_id, unnest([bit_count(xor({bits.format(c="a.phash")}, {bits.format(c="b.phash")})), bit_count(xor({bits.format(c="a.dhash")}, {bits.format(c="b.dhash")}))]) as d from y where round(a.position, 3) = round(b.position, 3)
@@ -109,8 +112,16 @@ _MEDIA = "case when lower(trim(media_type)) in ('image', 'pic', 'picture') then
 _SHA = "sha256({x})"
 _TITLE = "trim(regexp_replace(regexp_replace(lower({x}), '[^0-9a-z\\s]+', ' ', 'g'), '\\s+', ' ', 'g'))"
 _ESC = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
-_COMMAND = """case when lower(split_part(regexp_extract(trim({x}), '^\\S+'), '@', 1)) like '/_%' then lower(split_part(regexp_extract(trim({x}), '^\\S+'), '@', 1))
- else lower(coalesce(nullif(regexp_extract({x}, '(?i)(?:using|use|hint|full|cmd|command)\\s*[:：\\-=]?\\s*(/[a-z0-9_]+)', 1), ''), nullif(regexp_extract({x}, '(?i)(?:^|\\s)(/[a-z0-9_]+)(?:@[a-z0-9_]+)?(?:\\s|$|[^a-z0-9_@])', 1), ''))) end"""
+
+
+def _commands(columns: str = "doc_id") -> str:
+    """CTE c (columns, command): the text is cut at slashes, and a part that begins with a name is judged by what stands before it."""
+    return f"""a as (select {columns}, split_part(lower(regexp_extract(trim(text), '^\\S+')), '@', 1) as t, string_split(' ' || trim(text), '/') as p from documents),
+b as (select *, list_filter(range(2, len(p) + 1), lambda i: regexp_matches(p[i], '^\\w') and list_has_any(['using', 'use', 'hint', 'full', 'cmd', 'command'], [right(rtrim(regexp_replace(rtrim(lower(p[i - 1]), ' ' || chr(9) || chr(10) || chr(13)), '[:：=-]$', ''), ' ' || chr(9) || chr(10) || chr(13)), n) for n in [3, 4, 5, 7]])) as told,
+ list_filter(range(2, len(p) + 1), lambda i: regexp_matches(p[i], '^\\w+(@\\w+)?([^\\w@]|$)') and regexp_matches(p[i - 1], '\\s$')) as free from a),
+c as (select * exclude (t, p, told, free), case when t in (select default_command from collection_dim) then t when '/' || lower(regexp_extract(p[coalesce(told[1], free[1])], '^\\w+')) in (select default_command from collection_dim) then '/' || lower(regexp_extract(p[coalesce(told[1], free[1])], '^\\w+')) end as command from b)"""
+
+
 _ORDERED = "list_filter(list_transform(coalesce({x}, []), lambda v: nullif(trim(v), '')), lambda v: v is not null)"
 
 
@@ -139,9 +150,9 @@ SQL = {
     "hash_distances": f"{_I}, d as (select mongo_id, {_hamming('trim(phash)', 'trim(dhash)')} as distance, 4.0 * greatest(length(trim(phash)), length(trim(dhash))) as n from i) select mongo_id, cast(distance as integer) as distance, cast(round(distance / n, 6) as double) as share from d where distance is not null",
     "photo_weighted_top1": _photo(False),
     "photo_strict_top1": _photo(True),
-    "photo_single_hash_top1": _photo(False, "dhash is null"),
-    "video_multiframe_top1": _video(False),
-    "video_strict_top1": _video(True),
+    "photo_single_hash_top1": _photo(False, "dhash is null", True),
+    "video_multiframe_top1": _video(False, own=True),
+    "video_strict_top1": _video(True, own=True),
     "video_nearest": _video(False, True),
     "duration_buckets": f"{_I} select cast(round_even(duration_ms / 1000.0, 0) as integer) as bucket, count(*) as n_items from i group by 1",
     "duration_band_counts": f"{_I}, v as (select mongo_id, cast(round_even(duration_ms / 1000.0, 0) as integer) as b from i where duration_ms > 0) select p.mongo_id as probe_id, count(*) as n_near from v p join v q on q.b between p.b - 4 and p.b + 4 where {_PROBE.format(x='p.mongo_id')} group by 1",
@@ -152,15 +163,25 @@ SQL = {
     "name_cleanup": "select c_custkey, c_name || ' x' as name, split_part(c_name || ' x', ' ', 1) as first_token from customer",
     "text_scalars": f"select doc_id, {_SHA.format(x=_ESC)} as escaped_sha, '@' || regexp_replace(lower(trim(source)), '^@+', '') as account, {_TITLE.format(x='source')} as title, sha256(concat_ws(chr(10), nullif(trim(kind), ''), text, case when trim(lang) <> '' then lang end)) as joined_sha from documents",
     "content_rule_counts": f"select {_RULES} as rule, source, count(*) as n_docs from documents group by 1, 2",
-    "commands_in_texts": f"with c as (select doc_id, {_COMMAND.format(x='text')} as command from documents) select doc_id, command, collection from c left join collection_dim on default_command = command where command is not null",
+    "commands_in_texts": f"with {_commands()} select doc_id, command, collection from c left join collection_dim on default_command = command where command is not null",
     "lookup_scopes": f"""with p as (select distinct a.default_command as command, b.collection, b.ord from collection_dim a join collection_dim b using (trust_rank)), s as (select command, string_agg(collection, '|' order by ord, collection) as scope from p group by 1),
-c as (select doc_id, source, nullif(trim(collection), '') as collection, {_COMMAND.format(x="text")} as command from documents)
+{_commands("doc_id, source, nullif(trim(collection), '') as collection")}
 select doc_id, case when source = 'relay_main' then 'blocked' when collection is not null then 'source' when scope is not null then 'command' else 'all' end as mode, case when source = 'relay_main' then '' when collection is not null then collection else scope end as collections from c left join s using (command)""",
     "title_sources": f"{_I} select mongo_id, arg_min(d.collection, ord) as title_collection from i left join collection_dim d on contains('the ' || {_TITLE.format(x='''replace(replace(i.collection, 'items_', ''), '_', ' ')''')} || ' bot', {_TITLE.format(x='''replace(replace(d.collection, 'items_', ''), '_', ' ')''')}) group by 1",
     "message_attribution": f"""with m as (select doc_id, text, '@' || regexp_replace(lower(trim(source)), '^@+', '') as source_username, {_TITLE.format(x="concat_ws(' ', kind, collection)")} as title, concat_ws(chr(10), nullif(trim(concat_ws(' ', kind, collection)), ''), text) as said from documents),
 d as (select *, {_TITLE.format(x="replace(replace(collection, 'items_', ''), '_', ' ')")} as t, '@feed_' || lpad(cast(ord as varchar), 2, '0') as account from collection_dim),
-h as (select doc_id, arg_min(d.collection, ord) as by_title from m join d on contains(m.title, d.t) or contains(d.t, m.title) group by 1)
-select m.doc_id, source_username, coalesce(a.collection, by_title, {_CONTENT}, {_CUSTOM.format(x='said')}) as source_collection, {_COMMAND.format(x="text")} as text_command from m left join d a on a.account = source_username left join h using (doc_id)""",
+h as (select doc_id, arg_min(d.collection, ord) as by_title from m join d on contains(m.title, d.t) or contains(d.t, m.title) group by 1),
+k as (select doc_id, case when source_username = '@feed_19' then '/ember' when contains(lower(said), 'seen:') and contains(lower(said), 'wanted:') then '/moon' when contains(lower(said), '#') and contains(lower(said), 'chat') then '/paper' when contains(lower(said), '/') then '/lookup' end as by_custom from m),
+{_commands()}
+select m.doc_id, source_username, case when not coalesce(source_username = '@relay_main' or title = 'bio items paper heroes', false) then coalesce(a.collection, by_title, {_CONTENT}, o.collection) end as source_collection, command as text_command, coalesce(source_username = '@relay_main' or title = 'bio items paper heroes', false) as is_blocked
+from m left join d a on a.account = source_username left join h using (doc_id) join k using (doc_id) left join collection_dim o on o.default_command = by_custom join c using (doc_id)""",
+    "final_commands": "with e as (select distinct id as probe_id, collection, chat_id from lookup_events where hit) select probe_id, e.collection, case when e.collection is not null then coalesce(case when chat_id % 7 = 0 then '/chat' end, case when chat_id % 2 = 0 and (ord <= 8 or default_command = '/amber') then '/amber' end, default_command) end as command from e left join collection_dim d on d.collection = e.collection",
+    "manual_commands": "select doc_id, case when doc_id % 5 = 0 then '/moon' when doc_id % 5 = 1 then '/amber' end as command from documents",
+    "folded_titles": "select c_custkey, case when c_custkey % 5 = 2 then 'မြန်မာ lantern' else 'lantern hunt' end as title, case when c_custkey % 5 = 2 then 'items_amber_catcher' else 'items_lantern_hunt' end as title_collection from customer",
+    "media_of_documents": "select p_partkey, case when p_size % 5 = 0 or p_partkey % 8 in (0, 1, 2) then 'photo' when p_size % 7 = 0 or p_partkey % 8 in (5, 6) then 'video' end as media_type from part",
+    "status_texts": "with o as (select o_orderkey, o_totalprice, o_orderkey * 61 as u, o_orderkey * 7 - 10 as g from orders) select o_orderkey, format('{:,}', o_orderkey * 997) as count, cast(cast(round_even(o_totalprice, 0) as bigint) as varchar) || ' ms' as ms, case when u >= 86400 then format('{}d {}h {}m', u // 86400, u // 3600 % 24, u // 60 % 60) when u >= 3600 then format('{}h {}m {}s', u // 3600, u // 60 % 60, u % 60) when u >= 60 then format('{}m {}s', u // 60, u % 60) else format('{}s', u) end as uptime, case when g < 0 then 'N/A' when g < 60 then format('{}s', g) when g < 3600 then format('{}m {}s', g // 60, g % 60) else format('{}h {}m', g // 3600, g // 60 % 60) end as age from o",
+    "cached_results": "with e as (select distinct id, ts, chat_id, hit, mongo_id from lookup_events where ts is not null) select r.id, epoch_us(r.ts) as ts_us, arg_max(w.mongo_id, (w.ts, w.mongo_id)) as value from e r left join e w on w.chat_id = r.chat_id and w.hit and w.mongo_id is not null and w.ts < r.ts and epoch_us(w.ts) + 3600000001 > epoch_us(r.ts) group by r.id, r.ts, r.chat_id, r.hit, r.mongo_id",
+    "parsed_marks": "select lower(trim(collection)) as collection, epoch_us(max(try_cast(trim(updated_at) as timestamptz))) as mark_us, count(try_cast(trim(updated_at) as timestamptz)) as n_read from fingerprint_items group by 1",
     "blocked_filter": "select distinct id, chat_id from lookup_events where chat_id not in (select chat_id from lookup_events where reason = 'blocked_source')",
     "formatted_results": f"{_I} select mongo_id, concat_ws(chr(10), 'NAME: ' || {_clean('name')}, case when not coalesce({_clean('command')} in ('/amber', '/copper'), false) then 'ID: ' || {_clean('card_id')} end, case when not coalesce({_clean('command')} in ('/amber', '/copper'), false) then 'RARITY: ' || {_clean('rarity')} end) as text, concat_ws(' ', {_clean('command')}, {_clean('name')}) as \"full\" from i",
     "build_counts": "select lower(trim(collection)) as collection, count(*) as n_items from item_snapshots group by 1",

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import normalize as N
 from ..session import small
@@ -21,7 +22,7 @@ ALIASES = {
     "file_unique_id": ("file_unique_id", "photo_file_unique_id", "video_file_unique_id", "media.file_unique_id", "file.unique_id"),
     "sha256": ("sha256", "media_sha256", "hash", "file_hash", "media.sha256", "file.sha256"),
     "phash": ("photo_fingerprint.phash", "phash", "photo_phash", "image_phash", "media.phash", "file.phash"),
-    "frame_hashes": ("frame_hashes", "video_frame_hashes", "frames"),
+    "frame_hashes": ("frame_hashes", "video_frame_hashes", "frames", "media.frame_hashes", "file.frame_hashes"),
     "media_type": ("media_type", "type", "media.type"),
 }
 
@@ -43,12 +44,34 @@ def _at(df: DataFrame, path: str, kind: str = "string") -> Column:
     return F.col(path) if _has(df, path) else F.lit(None).cast(kind)
 
 
+def _type(df: DataFrame, path: str) -> T.DataType:
+    kind = df.schema
+    for part in path.split("."):
+        kind = kind[part].dataType
+    return kind
+
+
+def frame_list(df: DataFrame, path: str) -> Column:
+    """The frame hashes at ``path`` as a list, null where there are none: of a list, of a map's values, of a text with
+    commas, or of structs, which may call the hash by either of three names."""
+    kind, value = _type(df, path), F.col(path)
+    if isinstance(kind, T.StringType):
+        return F.when(value != "", F.split(value, ","))
+    if isinstance(kind, T.MapType):
+        kind, value = T.ArrayType(kind.valueType), F.map_values(value)
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+        names = [n for n in ("hash", "phash", "value") if n in kind.elementType.fieldNames()]
+        one = lambda x: F.coalesce(*[F.nullif(x[n].cast("string"), F.lit("")) for n in names]) if names else F.lit(None).cast("string")
+        value = F.transform(value, one)
+    return F.when(F.size(value) > 0, value.cast(N.STRINGS))
+
+
 def parse_items(raw: DataFrame, collections: DataFrame | None = None) -> DataFrame:
     """Canonical items of raw documents with ``_id`` and ``collection``; any of the aliases may be missing.
 
     ``collections`` (``collection``, ``default_command``) gives the command of documents without one."""
     have = lambda f: N.first_present(*[c.cast("string") for c in _present(raw, f)])
-    frames = N.frame_hashes(F.coalesce(*[F.col(p) for p in ALIASES["frame_hashes"] if _has(raw, p)], F.array().cast(N.STRINGS)))
+    frames = N.frame_hashes(F.coalesce(*[frame_list(raw, p) for p in ALIASES["frame_hashes"] if _has(raw, p)], F.array().cast(N.STRINGS)))
     vf, pf = _at(raw, "video_fingerprint"), _at(raw, "photo_fingerprint")
     phash = have("phash")
     measure = lambda f: N.nonzero_first(_at(raw, f"video_fingerprint.{f}").cast("string"), _at(raw, f"media_geometry.{f}").cast("string"))
