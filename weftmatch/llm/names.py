@@ -23,8 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import skew_join
-from ..session import materialize
+from ..operators.skew import skew_join, skew_pairs
+from ..session import materialize, small
 from .groups import components
 from .items import STAND_INS
 from .plaintext import plain_array
@@ -33,8 +33,6 @@ from .segments import edit_join
 NAME_EDITS, SERIES_EDITS = 3, 2
 #: A title is a misspelling of a common one only if it is at most this share as frequent.
 RARE_TITLE = 0.25
-#: Words of by-names that are compared in an expression; where there are more, by joins.
-FEW_WORDS = 2_000
 
 # Words before a name, endings after one, and endings of short forms.
 TITLES = frozenset("lord lady sir dame dr doctor prof professor princess prince king queen capt captain agent miss mister mr mrs ms master general commander saint st".split())
@@ -206,25 +204,13 @@ def _plain_first(rows: DataFrame) -> DataFrame:
     article somewhere in the data. It says who is meant within a series, but not without one."""
     words = rows.select(F.explode("bynames").alias("form")).distinct()
     first, second = words.select(F.substring_index("form", " ", 1).alias("w1")).distinct(), words.select(F.substring_index("form", " ", -1).alias("w2")).distinct()
-    heads, tails = (d.limit(FEW_WORDS + 1).toPandas().iloc[:, 0].tolist() for d in (first, second))
-    if max(len(heads), len(tails)) > FEW_WORDS:
-        return _plain_first_joined(rows, first, second)
-    one, two = F.array(*map(F.lit, heads)).cast("array<string>"), F.array(*map(F.lit, tails)).cast("array<string>")
-    told = lambda f: F.array_contains(one, F.substring_index(f, " ", 1)) & F.array_contains(two, F.substring_index(f, " ", -1))
-    forms = F.array_distinct("forms")
-    proper = F.filter(forms, lambda f: ~told(f))
-    return rows.drop("bynames").withColumn("proper", proper).withColumn("forms", F.array_distinct(F.concat("proper", "forms")))
-
-
-def _plain_first_joined(rows: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
-    """``_plain_first`` where the words are too many for an expression."""
-    long = rows.select("mongo_id", F.posexplode("forms").alias("at", "form")).withColumn("w1", F.substring_index("form", " ", 1)).withColumn("w2", F.substring_index("form", " ", -1))
-    seen = long.join(first.withColumn("is1", F.lit(True)), "w1", "left").join(second.withColumn("is2", F.lit(True)), "w2", "left")
-    told = F.coalesce(F.col("is1") & F.col("is2"), F.lit(False))
-    back = seen.groupBy("mongo_id").agg(F.array_sort(F.collect_list(F.struct(told.alias("byname"), "at", "form"))).alias("x"))
-    names = back.select("mongo_id", F.array_distinct(F.col("x.form")).alias("forms"), F.array_distinct(F.filter("x", lambda v: ~v["byname"])["form"]).alias("proper"))
-    empty = F.array().cast("array<string>")
-    return rows.drop("forms", "bynames").join(names, "mongo_id", "left").withColumn("forms", F.coalesce("forms", empty)).withColumn("proper", F.coalesce("proper", empty))
+    every = rows.select(F.explode("forms").alias("form")).distinct().withColumns({"w1": F.substring_index("form", " ", 1), "w2": F.substring_index("form", " ", -1)})
+    told = materialize(every.join(small(first), "w1", "left_semi").join(small(second), "w2", "left_semi").select("form"), "told")
+    # Few items have such a name, so what is joined back is small wherever that was checked.
+    held = rows.select("mongo_id", F.explode("forms").alias("form")).join(small(told), "form", "left_semi")
+    held = materialize(held.groupBy("mongo_id").agg(F.collect_set("form").alias("told")), "held")
+    proper = F.array_except("forms", F.coalesce("told", F.array().cast("array<string>")))
+    return rows.drop("bynames").join(small(held), "mongo_id", "left").withColumn("proper", proper).withColumn("forms", F.array_distinct(F.concat("proper", "forms"))).drop("told")
 
 
 ENDS = "(?:" + "|".join(SHORT_ENDS) + ")$"
@@ -328,8 +314,9 @@ def characters(items: DataFrame) -> DataFrame:
 
 
 def name_links(items: DataFrame) -> DataFrame:
-    """``mongo_id_a``, ``mongo_id_b`` (smaller first): items of one character whose ``name`` strings differ."""
+    """``mongo_id_a``, ``mongo_id_b`` (smaller first): items of one character whose ``name`` strings differ. The pairs of a
+    character with many items are made in a grid of tasks."""
     placed = materialize(characters(items), "characters")
     a = placed.select("character", F.col("mongo_id").alias("mongo_id_a"), F.col("name").alias("na"))
     b = placed.select("character", F.col("mongo_id").alias("mongo_id_b"), F.col("name").alias("nb"))
-    return a.join(b, "character").filter("mongo_id_a < mongo_id_b and na <> nb").select("mongo_id_a", "mongo_id_b")
+    return skew_pairs(a, b, "character").filter("mongo_id_a < mongo_id_b and na <> nb").select("mongo_id_a", "mongo_id_b")
