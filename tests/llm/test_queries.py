@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from weftmatch.llm import queries, sql
+from weftmatch.llm import queries, sql, survivors
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
@@ -38,3 +38,12 @@ def test_query_runs(spark, name):
     df = queries.QUERIES[name](spark, DATA)
     assert df.columns == COLUMNS.get(name, df.columns)
     assert df.count() > 0 or name.startswith("p8_")  # the smallest corpus has no leak
+
+
+def test_p3_found_comes_through_the_vote_on_fields(spark, rows, monkeypatch):
+    """Sources and values are weighed in turn before a base record is named, and the rows are its dominant ones."""
+    voted = []
+    monkeypatch.setattr(survivors, "discover", lambda claims, f=survivors.discover: voted.append(set(claims.columns)) or f(claims))
+    found = rows(queries.p3_found(spark, DATA))
+    assert voted == [{"g", "f", "v", "s", "n"}]
+    assert found == rows(queries.p3_representatives(spark, DATA).filter("dominant"), "item_key", "mongo_id") and found

@@ -14,7 +14,7 @@ from .names import characters, name_links
 from .packing import pack, token_sizes
 from .plaintext import not_plain_fields, plain_fields
 from .reading import reading_levels
-from .survivors import ALIASES, COUNTED, VOTED, best_records, representatives
+from .survivors import ALIASES, VOTED, representatives
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -28,8 +28,8 @@ def p3_representatives(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    """The elected item of each item key, where it dominates all others."""
-    return best_records(items(spark, sf, "item_key", "fingerprint_version", "collection", *COUNTED), table(spark, sf, "collection_dim")).filter("dominant").select("item_key", "mongo_id")
+    """The base record of each surviving record, both rounds of truth discovery made, where it dominates all others."""
+    return p3_representatives(spark, sf).filter("dominant").select("item_key", "mongo_id")
 
 
 def _named(spark: SparkSession, sf: str) -> DataFrame:
