@@ -91,3 +91,27 @@ def test_a_level_rests_on_its_own_models(spark):
     assert grader.rates.shape == (4, 1 + 2 * reading.FIGURES)
     score = grader.score(grader.features(pa.array([easy * 4, hard * 4])))
     assert score[0] < score[1] and grader.level(score).tolist() == [1, 4]
+
+
+def test_all_rated_documents_count(spark, monkeypatch):
+    """Models come from every rated document, whatever a sample in memory may hold."""
+    r = random.Random(4)
+    docs = spark.createDataFrame([(i, text(r, 1 + i % 4)) for i in range(120)], "doc_id bigint, text string")
+    votes = spark.createDataFrame([(i, "r", 1 + i % 4) for i in range(100)], "doc_id bigint, rater string, reading_level int")
+    monkeypatch.setattr(reading, "SAMPLE", 3)
+    monkeypatch.setattr(reading, "SAMPLE_CHARS", 3000)
+    out = {x["doc_id"]: x["reading_level"] for x in reading_levels(docs, votes).collect()}
+    assert len(out) == 120 and np.mean([out[i] == 1 + i % 4 for i in range(120)]) > 0.9
+
+
+def test_counted_by_spark_as_in_memory(spark):
+    r = random.Random(6)
+    rows = [(text(r, 1 + i % 4), r.choice([1.0 + i % 4, 2.5]), i % 5) for i in range(90)] + [("", 1.0, 2)]
+    ours = reading.fit_all(spark.createDataFrame(rows, "text string, rating double, fold int").repartition(3))
+    one = fit([t for t, _, _ in rows], np.array([y for _, y, _ in rows]), np.array([f for _, _, f in rows]))
+    assert (ours.vocabulary == one.vocabulary).all() and (ours.common == one.common).all()
+    for a, b in ((ours.words, one.words), (ours.build, one.build)):
+        assert np.array_equal(a.base, b.base)
+        assert all(np.array_equal(x, y) for n in b.tables for x, y in zip(a.tables[n], b.tables[n], strict=True))
+    assert np.allclose(ours.scale, one.scale) and np.allclose(ours.rates, one.rates, atol=1e-5)
+    assert np.allclose(np.interp(np.arange(1, 4, 0.1), *ours.steps), np.interp(np.arange(1, 4, 0.1), *one.steps), atol=1e-3)
