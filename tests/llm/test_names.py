@@ -4,6 +4,7 @@ import random
 from hypothesis import given
 from hypothesis import strategies as st
 
+from weftmatch.llm import names
 from weftmatch.llm.names import name_links, parse_name, parse_series
 from weftmatch.llm.segments import cuts, edit_join, lookups
 
@@ -36,6 +37,27 @@ def test_edit_join_equals_all_pairs(spark):
     assert one == {tuple(sorted(x[:2])) for x in got}
 
 
+def test_segments_are_not_broadcast(spark, tmp_path):
+    """Files of a few kilobytes become many segments, which the driver must not gather."""
+    path = f"file://{tmp_path}/texts"
+    spark.createDataFrame([(f"{i:05d}", 1) for i in range(300)], "text string, g int").write.parquet(path)
+    df = spark.read.parquet(path)
+    for pairs in (edit_join(df, df, 2), edit_join(df, df, 2, one_way=True)):
+        assert len(pairs.collect()) > 300
+        # The plan as it ran, since sizes known at run time may turn a join into another.
+        assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bynames_are_told_before_series_are_joined(spark, monkeypatch):
+    """What by-names are told from is read from a written table; the join with series is not made again for it."""
+    seen, joined = [], []
+    monkeypatch.setattr(names, "small", lambda df, f=names.small: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or f(df))
+    monkeypatch.setattr(names, "skew_join", lambda *a, f=names.skew_join: joined.append(len(seen)) or f(*a))
+    items = spark.createDataFrame([("1", "The Iron Hound", ["Rotar Breibren"], SERIES), ("2", "Iron Hound", None, SERIES)], "mongo_id string, name string, name_aliases array<string>, anime_name string")
+    assert name_links(items).count() == 1
+    assert joined == [3] and len(seen) == 4 and not any("Join LeftOuter" in p for p in seen)
+
+
 def test_names_are_taken_apart():
     assert parse_name("Dr. Ann-Lee Gray ❄ [SSR]") == ("full", "ann", "leegray")
     assert parse_name("GRAY, Ann (ver. 2)") == ("full", "ann", "gray")

@@ -175,7 +175,7 @@ def series_ids(rows: DataFrame) -> DataFrame:
     near = near.join(long.select(F.col("text").alias("r"), "n"), "r").join(long.select(F.col("text").alias("l"), F.col("n").alias("m")), "l").filter(F.col("m") <= F.greatest(F.lit(1), F.col("n") * RARE_TITLE)).filter("n > m or (n = m and r < l)")
     up = materialize(near.groupBy("l").agg(F.max_by("r", F.struct("n", "r")).alias("top")), "series")
     step = up.join(up.select(F.col("l").alias("top"), F.col("top").alias("next")), "top", "left").select("l", F.coalesce("next", "top").alias("top"))
-    sid = long.select(F.col("text").alias("main")).join(step.withColumnRenamed("l", "main"), "main", "left").select("main", F.coalesce("top", "main").alias("sid"))
+    sid = materialize(long.select(F.col("text").alias("main")).join(step.withColumnRenamed("l", "main"), "main", "left").select("main", F.coalesce("top", "main").alias("sid")), "sid")
     known = titles.filter(~word).join(sid, "main")
     spelt = known.select(F.explode(F.array("whole", "head")).alias("main"), "sid").distinct().groupBy("main").agg(F.count(F.lit(1)).alias("c"), F.first("sid").alias("sid")).filter("c = 1")
     short = titles.filter(word).select("main").join(spelt.select("main", "sid"), "main", "left").select("main", "sid")
@@ -197,18 +197,22 @@ def _close(l: Column, r: Column, sure: Column) -> Column:
     return small(la, ra, da) & small(lb, rb, db) & (da + db <= F.when(sure, 3).otherwise(1) + F.when(same, 1).otherwise(0))
 
 
-def _plain_first(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``forms`` distinct and by-names last, and ``proper``, the forms that are none.
+def _bynames(rows: DataFrame) -> DataFrame:
+    """``mongo_id``, ``told``: the forms of an item that are by-names, for items that have any.
 
     A by-name ("The Iron Hound", "Iron Hound") is a full name both of whose words stand in such a place after an
     article somewhere in the data. It says who is meant within a series, but not without one."""
-    words = rows.select(F.explode("bynames").alias("form")).distinct()
+    words = materialize(rows.select(F.explode("bynames").alias("form")).distinct(), "bynames")
     first, second = words.select(F.substring_index("form", " ", 1).alias("w1")).distinct(), words.select(F.substring_index("form", " ", -1).alias("w2")).distinct()
     every = rows.select(F.explode("forms").alias("form")).distinct().withColumns({"w1": F.substring_index("form", " ", 1), "w2": F.substring_index("form", " ", -1)})
     told = materialize(every.join(small(first), "w1", "left_semi").join(small(second), "w2", "left_semi").select("form"), "told")
     # Few items have such a name, so what is joined back is small wherever that was checked.
     held = rows.select("mongo_id", F.explode("forms").alias("form")).join(small(told), "form", "left_semi")
-    held = materialize(held.groupBy("mongo_id").agg(F.collect_set("form").alias("told")), "held")
+    return materialize(held.groupBy("mongo_id").agg(F.collect_set("form").alias("told")), "held")
+
+
+def _plain_first(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """``rows`` with ``forms`` distinct and by-names (``held``, of ``_bynames``) last, and ``proper``, the forms that are none."""
     proper = F.array_except("forms", F.coalesce("told", F.array().cast("array<string>")))
     return rows.drop("bynames").join(small(held), "mongo_id", "left").withColumn("proper", proper).withColumn("forms", F.array_distinct(F.concat("proper", "forms"))).drop("told")
 
@@ -262,9 +266,11 @@ def characters(items: DataFrame) -> DataFrame:
     inside too) and ``anime_name``. Null, blank and stand-in names give no row. Extra columns are ignored."""
     rows = materialize(parsed(items).filter("kind is not null"), "parsed")
     series = materialize(series_ids(rows), "sids")
+    # By-names don't depend on the series, so they are told before rows and series are joined, which is done once.
+    held = _bynames(rows)
     rows = skew_join(rows.drop("whole", "head"), series, "main", "left").withColumn("sid", F.coalesce("sid", F.lit(0).cast("bigint"))).drop("main")
     # Without a series only proper names count, and an item without one stands alone.
-    rows = _plain_first(rows).withColumn("forms", F.when(F.col("sid") == 0, F.col("proper")).otherwise(F.col("forms"))).drop("proper")
+    rows = _plain_first(rows, held).withColumn("forms", F.when(F.col("sid") == 0, F.col("proper")).otherwise(F.col("forms"))).drop("proper")
     rows = materialize(rows, "placed")
     # Nodes: one full name in one series, by a 64-bit hash. A name and its flipped form are one node.
     key = lambda f: F.least(f, _flip(f))
@@ -272,7 +278,7 @@ def characters(items: DataFrame) -> DataFrame:
     forms, nodes = nodes, nodes.select("sid", "text")
     both = nodes.unionByName(nodes.select("sid", _flip(F.col("text")).alias("text"))).distinct()
     sure = edit_join(nodes.filter("sid <> 0"), both.filter("sid <> 0"), NAME_EDITS, "sid", one_way=True)
-    unsure = edit_join(nodes.filter("sid = 0"), both.filter("sid = 0"), 2, "sid", one_way=True)
+    unsure = edit_join(nodes.filter("sid = 0"), both.filter("sid = 0"), 2, one_way=True).withColumn("sid", F.lit(0).cast("bigint"))
     near = sure.unionByName(unsure).filter("l <> r").filter(_close(F.col("l"), F.col("r"), F.col("sid") != 0))
     node = lambda c: F.xxhash64("sid", key(F.col(c)))
     typed = near.select(node("l").alias("a"), node("r").alias("b"))
@@ -307,9 +313,11 @@ def characters(items: DataFrame) -> DataFrame:
     misspelt = none.filter("kind = 'one' and length(a) > 4")
     typo = edit_join(misspelt.select("sid", F.col("a").alias("text")).distinct(), parts.select("sid", F.col("part").alias("text")).distinct(), 1, "sid")
     typo = typo.join(parts.select("sid", F.col("part").alias("r"), "ent"), ["sid", "r"]).select("sid", F.col("l").alias("a"), "ent")
-    fit = fit.unionByName(later).unionByName(shorts).unionByName(misspelt.join(typo, ["sid", "a"]).select(*columns))
+    # Written out in steps: the driver plans a whole statement again after each of its stages.
+    slips = materialize(misspelt.join(typo, ["sid", "a"]).select(*columns), "slips")
+    fit = materialize(_one(fit.unionByName(later).unionByName(shorts).unionByName(slips), "sid", "kind", "a", "b"), "one")
     alone = F.when(F.col("sid") == 0, F.xxhash64("mongo_id")).otherwise(F.xxhash64("sid", "kind", "a", "b"))
-    less = rest.join(_one(fit, "sid", "kind", "a", "b"), ["sid", "kind", "a", "b"], "left").select("mongo_id", "name", F.coalesce("ent", alone).alias("character"))
+    less = rest.join(fit, ["sid", "kind", "a", "b"], "left").select("mongo_id", "name", F.coalesce("ent", alone).alias("character"))
     return full.unionByName(less).distinct()
 
 

@@ -93,7 +93,8 @@ def edit_join(left: DataFrame, right: DataFrame, k: int, within: str | None = No
     index = _explode(b, "r", lambda n: [(n * (k + 1) + i, s, z) for i, (s, z) in enumerate(cuts(n, k)) if z or i == 0], bool(within))
     probe = _explode(a, "l", lambda n: lookups(n, k, one_way), bool(within))
     on = ["key", "g"] if within else ["key"]
-    pairs = probe.join(index, on).filter(F.levenshtein("l", "r", k) >= 0).drop("key").distinct()
+    # Sizes are estimated from the texts, of which every one becomes many segments: neither side is ever broadcast.
+    pairs = probe.join(index.hint("merge"), on).filter(F.levenshtein("l", "r", k) >= 0).drop("key").distinct()
     pairs = pairs.withColumn("distance", F.levenshtein("l", "r", k))
     if within:
         groups = left.select(*g, within).distinct()
