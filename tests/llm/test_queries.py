@@ -2,6 +2,7 @@
 
 import glob
 import os
+from collections import Counter
 
 import duckdb
 import pytest
@@ -47,3 +48,12 @@ def test_p3_found_comes_through_the_vote_on_fields(spark, rows, monkeypatch):
     found = rows(queries.p3_found(spark, DATA))
     assert voted == [{"g", "f", "v", "s", "n"}]
     assert found == rows(queries.p3_representatives(spark, DATA).filter("dominant"), "item_key", "mongo_id") and found
+
+
+def test_p3_puts_together_items_of_shared_keys_only(spark, rows, monkeypatch):
+    given = []
+    monkeypatch.setattr(queries, "representatives", lambda items, trust, f=queries.representatives: given.append(rows(items, "item_key", "mongo_id")) or f(items, trust))
+    found = queries.p3_representatives(spark, DATA)
+    counts = Counter(key for key, _ in given[0])
+    assert counts and min(counts.values()) > 1 and all(key.strip() for key in counts)
+    assert rows(found, "item_key", "n_records") == sorted(counts.items(), key=repr)

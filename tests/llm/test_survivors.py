@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from weftmatch.llm.items import STAND_INS, real
 from weftmatch.llm import survivors
-from weftmatch.llm.survivors import COUNTED, best_records, discover, elect, representatives, version_number
+from weftmatch.llm.survivors import COUNTED, best_records, contests, discover, elect, repeated, representatives, version_number
 
 SCHEMA = "item_key string, mongo_id string, collection string, fingerprint_version string, updated_at timestamp, name string, card_id string, rarity string, anime_name string, command string, media_type string, file_unique_id string, sha256 string, origin_message_id bigint, support int"
 
@@ -134,3 +134,57 @@ def test_pairs_are_not_mixed(spark):
     full = spark.createDataFrame(data, kinds).select("*", *[F.lit(None).cast("string").alias(c) for c in COUNTED if c not in kinds])
     row = representatives(full, trust(spark)).head()
     assert (row["origin_chat_id"], row["origin_message_id"]) == (2, 20)
+
+
+CLAIMS = "g string, f string, v string, s string, n bigint"
+
+
+def test_contests_that_are_alike_are_held_once(spark, monkeypatch):
+    alike = [(f"g{i}", f, v, s, n) for i in range(30) for f in ("name", "sha256") for v, s, n in ((f"a{i}", "s1", 1), (f"b{i}", "s2", 2))]
+    swapped = [("x", "name", "a", "s2", 2), ("x", "name", "b", "s1", 1)]
+    claims = spark.createDataFrame([*alike, *swapped, ("y", "name", "a", "s1", 1), ("y", "name", "a", "s2", 1), ("z", "name", "a", "s3", 1)], CLAIMS)
+    held = contests(claims).collect()
+    assert len(held) == 4 and len({r["c"] for r in held}) == 2
+    assert sorted((r["s"], r["n"], r["m"]) for r in held) == [("s1", 1, 1), ("s1", 1, 60), ("s2", 2, 1), ("s2", 2, 60)]
+    monkeypatch.setattr(survivors, "ALIKE_CLAIMS", 0)
+    assert {(r["v"], r["s"], r["n"], r["m"]) for r in contests(claims).collect()} == {(v, s, n, 1) for _, _, v, s, n in (*alike, *swapped)}
+    assert contests(claims.limit(0)).count() == 0
+
+
+def rounds(claims):
+    """Weights and winners by the rule, every contest taken by itself."""
+    said = {}
+    for g, f, v, s, n in claims:
+        said.setdefault((g, f), {}).setdefault(v, {})[s] = n
+    everything = {s: sum(c[4] for c in claims if c[3] == s) for s in {c[3] for c in claims}}
+    weights, n = dict.fromkeys(everything, 1.0), 0
+    win = lambda values: max(values, key=lambda v: (round(sum(k * weights[s] for s, k in values[v].items()), 9), v))
+    while True:
+        agreed = dict.fromkeys(everything, 0)
+        for values in said.values():
+            for s, k in values[win(values)].items():
+                agreed[s] += k
+        new = {s: w + survivors._step(n) * (survivors._weight(agreed[s], everything[s]) - w) for s, w in weights.items()}
+        moved, weights, n = max(abs(new[s] - weights[s]) for s in new), new, n + 1
+        if moved < survivors.CLOSE:
+            return weights, {k: win(v) for k, v in said.items()}
+
+
+def test_rounds_over_alike_contests_are_those_over_all(spark, monkeypatch):
+    r = random.Random(11)
+    claims = {(f"g{r.randrange(60)}", r.choice("ab"), f"v{r.randrange(3)}", r.choice(("s1", "s1", "s2", "s3", "s4"))): r.choice((1, 1, 2)) for _ in range(700)}
+    claims = [(*k, n) for k, n in claims.items()]
+    weights, won = rounds(claims)
+    assert max(weights.values()) > min(weights.values()) + 0.1
+    for most in (64, 4, 0):
+        monkeypatch.setattr(survivors, "ALIKE_CLAIMS", most)
+        winners, found = discover(spark.createDataFrame(claims, CLAIMS))
+        found = {x["s"]: x["weight"] for x in found.collect()}
+        assert found.keys() == weights.keys() and all(abs(found[s] - w) < 1e-9 for s, w in weights.items())
+        assert {(x["g"], x["f"]): x["v"] for x in winners.collect()} == won
+
+
+def test_keys_that_several_items_have(spark, rows):
+    keys = [("a", "k1"), ("b", "k1"), ("c", "k2"), ("d", " "), ("e", " "), ("f", None), ("g", None), ("h", "k1 ")]
+    df = spark.createDataFrame(keys, "mongo_id string, item_key string")
+    assert rows(repeated(df)) == [("a",), ("b",)] and repeated(df.limit(0)).count() == 0

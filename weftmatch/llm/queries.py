@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import discard, materialize
 from ..sources.tables import table
 from .groups import item_keys, shared_key_groups
 from .history import new_against_history
@@ -14,7 +15,7 @@ from .names import characters, name_links
 from .packing import pack, token_sizes
 from .plaintext import not_plain_fields, plain_fields
 from .reading import reading_levels
-from .survivors import ALIASES, VOTED, representatives
+from .survivors import ALIASES, VOTED, repeated, representatives
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -23,8 +24,15 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_representatives(spark: SparkSession, sf: str) -> DataFrame:
-    """The surviving record of every item key with two items or more."""
-    return representatives(items(spark, sf, "item_key", *VOTED, *ALIASES), table(spark, sf, "collection_dim"))
+    """The surviving record of every item key with two items or more. Items alone in their key are told by the keys, so
+    that no other field of theirs is put together."""
+    keys = materialize(items(spark, sf, "item_key").select("mongo_id", "item_key"), "keys")
+    among = materialize(repeated(keys), "among")
+    rows = materialize(items(spark, sf, "item_key", *VOTED, *ALIASES, among=among), "items")
+    out = representatives(rows, table(spark, sf, "collection_dim"))
+    for done in (keys, among, rows):
+        discard(done)
+    return out
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -10,7 +10,8 @@ winning values. It is used twice.
   rounds need these counts only.
 * What its fields hold: the sources are the collections, and every filled field of a record is its source's claim about
   the group. Claims are pre-aggregated to (group, field, value, source) counts, and only contested fields take part in
-  the rounds; what is uncontested is counted once.
+  the rounds; what is uncontested is counted once. How a field's contest ends depends on which sources claim its values
+  and on the values' order, not on what they are, so contests that are alike in this are held once, with their number.
 
 The base record is the elected one; records with equal support are told apart by how many of their values won, then by
 id. A record that has the claims of all four respects, alone, dominates its group: that is checked after the election,
@@ -22,7 +23,7 @@ from __future__ import annotations
 import itertools
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.skew import skew_join
@@ -46,6 +47,8 @@ PRIOR_CLAIMS, PRIOR_RATE = 20.0, 0.8
 #: The rounds end when no weight moves by ``CLOSE``. After ``FREE_ROUNDS`` each round moves weights half as far as the
 #: round before, so that they end even where the winners would change back and forth.
 FREE_ROUNDS, CLOSE = 12, 1e-3
+#: Fields of a group with more claims than this are no longer compared with others but are contests of their own.
+ALIKE_CLAIMS = 64
 
 
 def version_number(column: Column) -> Column:
@@ -93,6 +96,12 @@ def aliases(grouped: DataFrame) -> DataFrame | None:
     return once.groupBy("g").agg(*[F.sort_array(F.collect_list(F.when(F.col("f") == c, F.col("v")))).alias(c) for c in have])
 
 
+def repeated(keys: DataFrame) -> DataFrame:
+    """``mongo_id`` of the rows of ``keys`` (mongo_id, item_key; one row per item) whose non-blank key others have too."""
+    shared = keys.filter(F.trim("item_key") != "").groupBy("item_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return skew_join(keys, shared.select("item_key"), "item_key").select("mongo_id")
+
+
 def ranked(items: DataFrame, trust: DataFrame, fields: bool = True) -> DataFrame:
     """Items of non-blank ``item_key`` with the four respects, each as a double that is better when larger, and, with
     ``fields``, what they state (``said``) and their alias lists."""
@@ -165,33 +174,50 @@ def best_records(items: DataFrame, trust: DataFrame) -> DataFrame:
     return best.select("item_key", "b.mongo_id", "n_records", F.bit_count("b.won").alias("respects_won"), ((F.col("b.won") == ALL) & (F.col("n_full") == 1)).alias("dominant"))
 
 
+def contests(claims: DataFrame) -> DataFrame:
+    """What the contested fields of ``claims`` (g, f, v, s, n) say: (c, v, s, n, m), the claims of contest ``c``, which
+    occurs ``m`` times. Contests are alike if the same sources claim their first, second ... value equally often; ``v``
+    is then the value's place among them. Those of more than ``ALIKE_CLAIMS`` claims keep their values."""
+    field = Window.partitionBy("g", "f")
+    places = claims.withColumns({"k": F.count(F.lit(1)).over(field), "lo": F.min("v").over(field), "hi": F.max("v").over(field), "place": F.dense_rank().over(field.orderBy("v"))})
+    own = F.col("k") > ALIKE_CLAIMS
+    said = F.struct(F.when(own, F.col("v")).otherwise(F.lpad(F.col("place").cast("string"), 9, "0")).alias("v"), "s", "n")
+    rows = places.filter("lo <> hi").select("g", "f", F.when(own, F.to_json(F.struct("g", "f"))).alias("own"), F.when(own, F.struct("v", "s")).alias("one"), said.alias("said"))
+    fields = rows.groupBy("g", "f", "own", "one").agg(F.sort_array(F.collect_list("said")).alias("said"))
+    alike = fields.groupBy("own", "said").agg(F.count(F.lit(1)).alias("m"))
+    named = alike.select(F.coalesce("own", F.monotonically_increasing_id().cast("string")).alias("c"), "m", "said")  # before the rows are taken apart
+    return named.select("c", "m", F.inline("said")).select("c", "v", "s", "n", "m")
+
+
 def discover(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Truth discovery over ``claims`` (g, f, v, s, n): returns (g, f, v, support) of the winning values and (s,
-    weight) of the sources. Ties go to the larger value text. The rounds end when no weight moves by ``CLOSE``."""
-    spread = claims.groupBy("g", "f").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    settled = spread.filter("lo = hi").select("g", "f")
-    open_ = materialize(claims.join(spread.filter("lo <> hi").select("g", "f"), ["g", "f"]), "contested")
-    base = materialize(claims.groupBy("s").agg(F.sum("n").alias("all_n")).join(claims.join(settled, ["g", "f"]).groupBy("s").agg(F.sum("n").alias("sure_n")), "s", "left"), "base")
+    """Truth discovery over ``claims`` (g, f, v, s, n; one row per g, f, v, s): returns (g, f, v, support) of the winning
+    values and (s, weight) of the sources. Ties go to the larger value text. The rounds end when no weight moves by
+    ``CLOSE``."""
+    open_ = materialize(contests(claims), "contested")
+    base = claims.groupBy("s").agg(F.sum("n").alias("all_n")).join(open_.groupBy("s").agg(F.sum(F.col("n") * F.col("m")).alias("open_n")), "s", "left")
+    base = materialize(base.select("s", "all_n", (F.col("all_n") - F.coalesce("open_n", F.lit(0))).alias("sure_n")), "base")
     few = base.count() <= BROADCAST_ROWS
     rate = lambda agreed: (agreed + PRIOR_CLAIMS * PRIOR_RATE) / (F.col("all_n") + PRIOR_CLAIMS)
     weight = lambda r: F.greatest(F.lit(0.05), F.log(r / (1.0001 - r)) + math.log(9))
     weights = materialize(base.select("s", F.lit(1.0).alias("weight")), "weights")
     for n in itertools.count():
-        best = _winners(open_, weights, few)
-        agreed = open_.join(best.select("g", "f", "v"), ["g", "f", "v"]).groupBy("s").agg(F.sum("n").alias("won_n"))
-        found = weight(rate(F.coalesce("sure_n", F.lit(0)) + F.coalesce("won_n", F.lit(0))))
+        best = _winners(open_, weights, few, "c")
+        agreed = open_.join(best.select("c", "v"), ["c", "v"]).groupBy("s").agg(F.sum(F.col("n") * F.col("m")).alias("won_n"))
+        found = weight(rate(F.col("sure_n") + F.coalesce("won_n", F.lit(0))))
         new = base.join(agreed, "s", "left").join(weights.select("s", F.col("weight").alias("old")), "s").select("s", "old", (F.col("old") + _step(n) * (found - F.col("old"))).alias("weight"))
         new = materialize(new, "weights")
         moved = new.agg(F.max(F.abs(F.col("weight") - F.col("old")))).head()[0]
         discard(weights)
         weights = new
         if moved is None or moved < CLOSE:
-            return _winners(claims, weights, few), weights.select("s", "weight")
+            discard(open_)
+            discard(base)
+            return _winners(claims, weights, few, "g", "f"), weights.select("s", "weight")
 
 
-def _winners(claims: DataFrame, weights: DataFrame, few: bool) -> DataFrame:
-    votes = claims.join(F.broadcast(weights) if few else weights, "s").groupBy("g", "f", "v").agg(F.sum(F.col("n") * F.col("weight")).alias("support"))
-    return votes.groupBy("g", "f").agg(F.max_by("v", F.struct(F.round("support", 9), "v")).alias("v"), F.max("support").alias("support"))
+def _winners(claims: DataFrame, weights: DataFrame, few: bool, *by: str) -> DataFrame:
+    votes = claims.join(F.broadcast(weights) if few else weights, "s").groupBy(*by, "v").agg(F.sum(F.col("n") * F.col("weight")).alias("support"))
+    return votes.groupBy(*by).agg(F.max_by("v", F.struct(F.round("support", 9), "v")).alias("v"), F.max("support").alias("support"))
 
 
 def representatives(items: DataFrame, trust: DataFrame) -> DataFrame:
